@@ -26,7 +26,8 @@ def frequent_hashes(digests: DataFrame, frequent: int) -> DataFrame:
     """At most ``frequent`` candidate values of column ``h`` (long)."""
     tracked = 4 * frequent
     partial = digests.groupBy((F.spark_partition_id() % SKETCHES).alias("lane")).agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("sketch"))
-    merged = partial.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # Grouped by a constant: a global aggregate would also merge the empty buffers of empty partitions, which fails.
+    merged = partial.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     top = merged.select(F.expr(f"approx_top_k_estimate(sketch, {frequent})").alias("top"))
     return top.select(F.explode("top").alias("t")).filter("t.count > 1").select(F.col("t.item").alias("h"))
 
