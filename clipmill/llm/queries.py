@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, url_filter
+from . import exact_dedup, mixing, pii, quality_crf, simhash, url_filter
 from .common import table
 
 
@@ -24,15 +24,29 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality_crf.score(docs, model)
+    return scored.select("row.doc_id", quality_crf.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= quality_crf.CUTOFF).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
