@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, quality_crf, simhash, url_filter
+from . import exact_dedup, line_dedup, mixing, pii, quality_crf, simhash, url_filter
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thinned = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return thinned.select("row.doc_id", "n_lines", "n_deleted", "text")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
@@ -52,4 +58,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_mixing": mixing.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
 }
