@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns that name a text and put it in order, whatever its own columns are called.
+KEY = ("none", "id", "mark")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,5 +51,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def key_of(id_col: str, text_col: str) -> list[Column]:
+    """Order of texts: null ids last, then id, then a hash of the text."""
+    return [F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,15 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let
-
-KEY = ("none", "id", "mark")
-
-
-def key_of(id_col: str, text_col: str) -> list[Column]:
-    """Order of texts: null ids last, then id, then a hash of the text."""
-    return [F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")]
-
+from .common import KEY, WORD, cut, key_of, let
 
 def rank(a: Column, b: Column) -> Column:
     """The rank of two neighbouring stretches; null if the second is missing."""

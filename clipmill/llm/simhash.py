@@ -23,11 +23,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import KEY, cut, key_of
 
 DISTANCE = 3
 SEED = 42
@@ -221,6 +221,7 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
     rows = distinct.select("fp", F.explode(F.array(*[block(j) for j in range(BLOCKS)])).alias("bucket"))
     # One row per hot bucket with its number of parts; joined by an ordinary join, as their number isn't bounded.
     hot = rows.groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")
+    hot = cut(hot)  # its join then has two plain exchanges, so that hot buckets can be split
     rows = rows.join(hot, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -238,7 +239,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b); the root is the smallest node of the component.
 
     Alternating large and small stars; each turn is checkpointed and the loop
-    ends when a turn leaves the edges as they were.
+    ends when a turn leaves the edges as they were. The aggregates are written
+    before they are joined back, so that the rows of a hot node can be split.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -248,9 +250,10 @@ def components(edges: DataFrame) -> DataFrame:
     was = state(edges)
     while was[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = cut(small.filter("a <> b").distinct())
         now = state(edges)
@@ -261,6 +264,17 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def linked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: KEY, doc_id, fp, root (of the component) and component_id."""
+    marked = cut(df.select(*key_of(id_col, text_col), F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(candidate_links(distinct))
+    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    names = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = rooted.join(names, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp (signed), component_id (smallest id reachable).
 
@@ -268,14 +282,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     any other. Null ids never name a component unless it has no other id; repeated
     rows share theirs. An empty table gives no rows.
     """
-    marked = cut(df.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(candidate_links(distinct))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return linked(df, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, one of each component: that of the smallest id (null last, then by text).
+
+    Of rows that repeat the kept id and text exactly one stays.
+    """
+    kept = cut(linked(df, id_col, text_col).groupBy("root").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*"))
+    packed = df.select(F.struct("*").alias("row"), *key_of(id_col, text_col))
+    same = Window.partitionBy(*KEY).orderBy("mark")
+    return packed.join(kept, list(KEY), "left_semi").withColumn("n", F.row_number().over(same)).filter("n = 1").select("row.*")
 
 
 def hex16(fp: Column) -> Column:
