@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, media, mixing, pii, quality_crf, simhash, url_filter, warc
+from . import exact_dedup, line_dedup, media, mixing, pieces, pii, quality_crf, simhash, url_filter, warc
 from .common import table
 
 
@@ -53,6 +53,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", quality_crf.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= quality_crf.CUTOFF).cast("int").alias("predicted"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return both.select("row.doc_id", "ids", "n_pieces", "decoded_sha256", "lossless")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,4 +1,56 @@
-STAGES = []
+"""A corpus pipeline of five stages over the operators of ``clipmill.llm``.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last
+keep the columns of ``docs``. Between stages the rows go through Parquet in the
+shared folder, so a stage never computes its predecessors again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clipmill.llm import line_dedup, mixing, pieces, quality_crf, simhash
+from clipmill.llm.common import table, work_dir
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line model accepts; it is fitted on labelled documents of this input."""
+    model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
+    return quality_crf.score(docs, model).filter(F.col("score") >= quality_crf.CUTOFF).select("row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without later copies of repeated line runs; their lengths follow."""
+    fresh = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
+    return line_dedup.line_dedup(docs).select(*[(fresh[c] if c in fresh else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: documents as often as it takes them."""
+    return mixing.expand(mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of each document, checked by decoding them."""
+    return pieces.round_trip(docs).select("row.doc_id", "row.source", "ids", "n_pieces", "decoded_sha256", "lossless")
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("simhash near-dedup", near_duplicates), ("source mixing", mix), ("sentencepiece", encode)]
+
+#: Models, hashes of shingles and sampled pieces can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = work_dir(spark, name.replace(" ", "_"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
