@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a piece mark of the text itself; no valid text holds a lone surrogate
-BATCH = 4 << 20
-MOST_STATES = 3_000_000
+BATCH, ROWS = 1 << 20, 512
+MOST_STATES = 1_500_000
 SCALAR = 64
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())])
@@ -105,6 +105,8 @@ class Lattices:
         keys = np.array([(n << 21) + ord(c) for n, c in step], np.int64)
         order = np.argsort(keys)
         self.keys, self.next = keys[order], np.array(list(step.values()), np.int64)[order]
+        self.first = np.zeros(0x110000, np.int32)  # by first character; 0 where no piece begins so
+        self.first[keys[order][: len({c for n, c in step if not n})]] = self.next[: len({c for n, c in step if not n})]
         self.node_piece = np.full(len(step) + 1, -1, np.int32)
         self.node_weight = np.full(len(step) + 1, -np.inf)
         for node, (piece, weight) in at_node.items():
@@ -113,7 +115,7 @@ class Lattices:
     def clear(self) -> None:
         self.end: dict[str, int] = {}
         self.states = 0
-        self.start, self.upto, self.before, self.piece = Growing(np.int32), Growing(np.float64), Growing(np.int32), Growing(np.int32)
+        self.start, self.upto, self.before, self.piece = Growing(np.int32), Growing(np.float32), Growing(np.int32), Growing(np.int32)
 
     def fallback(self, c: str) -> int:
         """Code, from ``size`` on, of the row of byte pieces that spell a character."""
@@ -142,7 +144,7 @@ class Lattices:
             terms = [ahead[i] + w for i, _, w in into[j]]
             top = max(terms)
             parts = [math.exp(t - top) for t in terms]
-            total = math.fsum(parts)
+            total = sum(parts)
             ahead.append(top + math.log(total))
             run = 0.0
             for (i, code, _), p in zip(into[j], parts, strict=True):
@@ -166,7 +168,7 @@ class Lattices:
             by_length.setdefault(len(c), []).append(c)
         for n, same in sorted(by_length.items()):
             same.sort()
-            if n > SCALAR:
+            if n > SCALAR or len(same) < 6:
                 for c in same:
                     self.add(c)
                 continue
@@ -178,9 +180,10 @@ class Lattices:
         rows, deep = len(chunks), min(n, self.longest)
         chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n).astype(np.int64)
         weight, piece = np.full((rows, n, deep), -np.inf), np.full((rows, n, deep), -1, np.int32)
-        row, place = (x.ravel() for x in np.meshgrid(np.arange(rows), np.arange(n), indexing="ij"))
-        node = np.zeros(rows * n, np.int64)
-        for k in range(deep):
+        row, place = np.nonzero(self.first[chars])
+        node = self.first[chars[row, place]].astype(np.int64)
+        weight[row, place, 0], piece[row, place, 0] = self.node_weight[node], self.node_piece[node]
+        for k in range(1, deep):
             inside = place + k < n
             row, place, node = row[inside], place[inside], node[inside]
             key = (node << 21) + chars[row, place + k]
@@ -237,8 +240,10 @@ class Lattices:
             step += 1
             u = (mixed(key[active] + np.uint64(step * int(GOLD) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             edge = start[state[active]]
+            u = u.astype(np.float32)
             later = np.flatnonzero(upto[edge] <= u)
-            while len(later):
+            while len(later):  # u may round to 1, which no sum is above: the last piece then
+                later = later[upto[edge[later]] < 1]
                 edge[later] += 1
                 later = later[upto[edge[later]] <= u[later]]
             code = piece[edge]
@@ -335,15 +340,20 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
 
     @F.arrow_udf(RESULT)
     def both(keys: pa.Array, texts: pa.Array) -> pa.Array:
-        table, plain = lattices(proto, alpha), texts.to_pylist()
-        ids, counts = table.encode(plain, [f"{seed}:{k}" for k in keys.to_pylist()])
-        hashes, same, at = [], [], 0
-        for text, n in zip(plain, counts.tolist(), strict=True):
-            back = table.decode(ids[at : at + n].tolist())
-            hashes.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-            same.append(back == (text or ""))
-            at += n
-        return pa.StructArray.from_arrays([as_lists(ids, counts), pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], ["ids", "decoded_sha256", "lossless"])
+        table, all_ids, all_counts, hashes, same = lattices(proto, alpha), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], []
+        for start in range(0, len(texts), ROWS):  # few rows at a time, so that memory stays low
+            plain = texts.slice(start, ROWS).to_pylist()
+            ids, counts = table.encode(plain, [f"{seed}:{k}" for k in keys.slice(start, ROWS).to_pylist()])
+            at = 0
+            for text, n in zip(plain, counts.tolist(), strict=True):
+                back = table.decode(ids[at : at + n].tolist())
+                hashes.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                same.append(back == (text or ""))
+                at += n
+            all_ids.append(ids)
+            all_counts.append(counts)
+        lists = as_lists(np.concatenate(all_ids), np.concatenate(all_counts))
+        return pa.StructArray.from_arrays([lists, pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], ["ids", "decoded_sha256", "lossless"])
 
     packed = df.select(F.struct("*").alias("row"), both(F.col(id_col), F.col(text_col)).alias("r"))
     return packed.select("row", "r.ids", F.size("r.ids").cast("long").alias("n_pieces"), "r.decoded_sha256", "r.lossless")

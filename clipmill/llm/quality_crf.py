@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CUTOFF = 0.3
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 SPACE, UPPER, LETTER, DIGIT, MARK, STOP, TAIL = (1 << i for i in range(7))
 N_FEATURES = 14
 
@@ -155,14 +155,14 @@ class LineCrf:
 
     def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         """Quality of each text from 0 to 1; a text without words has 0."""
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        texts = list(texts)
         out, at = [np.zeros(0)], 0
-        while at < len(raw):
-            to, size = at + 1, len(raw[at])
-            while to < len(raw) and size + len(raw[to]) < CHUNK:
-                size += len(raw[to])
+        while at < len(texts):
+            to, size = at + 1, len(texts[at] or "")
+            while to < len(texts) and size + len(texts[to] or "") < CHUNK:
+                size += len(texts[to] or "")
                 to += 1
-            x, counts, chars = line_features(raw[at:to])
+            x, counts, chars = line_features([(t or "").encode("utf-8", "surrogatepass") for t in texts[at:to]])
             marginal, _, _ = forward_backward(self.emissions(x, counts), counts, self.move)
             starts = np.cumsum(counts) - counts
             weight = np.where(x[:, 11] > 0, 0.0, chars.astype(float))
