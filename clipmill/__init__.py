@@ -1,0 +1 @@
+"""clipmill: text-collection analytics on Spark DataFrames."""
