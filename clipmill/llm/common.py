@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -58,3 +59,29 @@ def key_of(id_col: str, text_col: str) -> list[Column]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+_FOLDERS: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    For loops: unlike a checkpoint the result has sizes of its own, so estimates
+    don't multiply from round to round. The folders go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, "stored")
+    if not _FOLDERS:
+        atexit.register(_remove_all, spark)
+    _FOLDERS.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_all(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    for path in _FOLDERS:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, cut, key_of
+from .common import KEY, cut, key_of, stored
 
 DISTANCE = 3
 SEED = 42
@@ -238,11 +238,11 @@ def candidate_links(distinct: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b); the root is the smallest node of the component.
 
-    Alternating large and small stars; each turn is checkpointed and the loop
+    Alternating large and small stars; each turn is written and the loop
     ends when a turn leaves the edges as they were. The aggregates are written
     before they are joined back, so that the rows of a hot node can be split.
     """
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -255,7 +255,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large)
         least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = cut(small.filter("a <> b").distinct())
+        edges = stored(small.filter("a <> b").distinct())
         now = state(edges)
         if now == was:
             break
