@@ -35,6 +35,26 @@ def segmented(described: DataFrame, own: dict[str, Parser] | None = None) -> Dat
     return out
 
 
+def tidied(entries: DataFrame, types: tuple[DocType, ...]) -> DataFrame:
+    """Entries after the clean-up patterns and the author merging that their types ask for.
+
+    An extra step for callers: plain ingest reads these options but leaves entries
+    as they are.
+    """
+    body = F.col("body")
+    for t in types:
+        for pattern in t.cleanup_patterns:
+            body = F.when(F.col("doctype_name") == t.name, F.regexp_replace(body, pattern, "")).otherwise(body)
+    clean = entries.withColumn("body", F.trim(body)).filter("body <> ''")
+    merging = [t.name for t in types if t.merge_consecutive_same_author]
+    if not merging:
+        return clean
+    chosen = F.coalesce(F.col("doctype_name").isin(*merging), F.lit(False))
+    runs = merge.author_runs(clean.filter(chosen), "path").select("path", F.col("first_position").alias("position"), F.col("body").alias("__body"))
+    joined = clean.filter(chosen).join(runs, ["path", "position"]).withColumn("body", F.col("__body")).drop("__body")
+    return clean.filter(~chosen).unionByName(joined.select(*clean.columns))
+
+
 def add_children(store: Store, entries: DataFrame) -> None:
     """Append entries (document_id, position, ...) and their chunks."""
     numbered = durable(with_ids(entries, store.top_id("entries"), ["document_id", "position"]))
@@ -50,14 +70,16 @@ def recompute(store: Store) -> None:
     store.write("document_tags", families.repaired_tags(store.read("document_tags"), found))
 
 
-def ingest(store: Store, batch: DataFrame, types: tuple[DocType, ...] = BUILT_IN, own: dict[str, Parser] | None = None, force: bool = False, on_gray: str = "queue", now: str | None = None) -> DataFrame:
+def ingest(store: Store, batch: DataFrame, types: tuple[DocType, ...] = BUILT_IN, own: dict[str, Parser] | None = None, force: bool = False, on_gray: str = "queue", now: str | None = None, tidy: bool = False) -> DataFrame:
     """Take in clips (path, raw): merge growing threads, store the rest, link near-duplicates; gives the review queue.
 
     ``on_gray``: what becomes of a pair that is only likely: ``queue`` (stored,
-    left for review), ``supersede`` or ``keep_both``.
+    left for review), ``supersede`` or ``keep_both``. ``tidy`` applies the clean-up
+    options of the types.
     """
     fresh = durable(clips.described(clips.unseen(batch, store.read("documents"), force), types, now))
-    entries = durable(segmented(fresh, own))
+    entries = segmented(fresh, own)
+    entries = durable(tidied(entries, types) if tidy else entries)
     described = fresh.withColumn("merge_key", strip_source_suffix(F.col("source_title")))
 
     stored = store.read("documents").filter("merge_strategy = 'positional'").select(F.col("id").alias("document_id"), strip_source_suffix(F.col("source_title")).alias("merge_key"))

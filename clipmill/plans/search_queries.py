@@ -75,7 +75,7 @@ def list_documents(spark, sf):
 
 def dump_filtered(spark, sf):
     turns = m.turns(spark, sf).select("document_id", F.col("entry_position").alias("position"), "author", "heading_title", "body")
-    return listing.dump(m.threads(spark, sf), turns, "READ 3").select("document_id", "source_title", "position", "author", "body")
+    return listing.dump(m.threads(spark, sf), turns, "READ 3").select("document_id", "source_title", F.col("position").cast("bigint").alias("position"), "author", "body")
 
 
 def document_nested(spark, sf):
@@ -172,7 +172,7 @@ def similar_turns(spark, sf):
     turns = m.turns(spark, sf).select("document_id", "entry_position", "body")
     before = F.lag("body").over(Window.partitionBy("document_id").orderBy("entry_position"))
     pairs = turns.withColumn("previous", before).filter("previous IS NOT NULL")
-    return pairs.select("document_id", "entry_position", snippets_similar(F.col("body"), F.col("previous")).alias("similar"))
+    return pairs.select("document_id", F.col("entry_position").cast("bigint").alias("entry_position"), snippets_similar(F.col("body"), F.col("previous")).alias("similar"))
 
 
 def hit_numbers(spark, sf):

@@ -100,6 +100,13 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert store.read("documents").count() == 2
 
 
+def test_tidied(spark):
+    rows = [("p", 0, "chat", "a", "x [noise]"), ("p", 1, "chat", "a", "y"), ("p", 2, "chat", "b", "[noise]"), ("p", 3, "chat", "a", "z"), ("q", 0, None, "a", "x [noise]")]
+    df = spark.createDataFrame(rows, "path string, position int, doctype_name string, author string, body string")
+    types = (config.DocType("chat", cleanup_patterns=(r"\[noise\]",), merge_consecutive_same_author=True),)
+    assert sorted((r.path, r.position, r.body) for r in ingest.tidied(df, types).collect()) == [("p", 0, "x\ny\nz"), ("q", 0, "x [noise]")]
+
+
 def test_positional_merge(spark):
     turn = lambda key, doc, i, body, author="a": (key, doc, i, author, body)
     body = "x" * 75
