@@ -49,7 +49,7 @@ def test_one_document_of_each_group_stays(stages):
 def test_mix_and_pieces(stages):
     assert {r.doc_id for r in stages[4].collect()} <= {r.doc_id for r in stages[3].collect()}
     assert stages[5].count() == stages[4].count() and stages[5].filter("NOT lossless").count() == 0
-    assert stages[5].select("ids").filter(F.size("ids") == 0).count() <= 1
+    assert stages[5].filter(F.size("ids") == 0).select("doc_id").distinct().count() <= 1  # the one empty text, however often it is repeated
 
 
 def test_run_and_bad_rows(spark, tmp_path):
