@@ -12,10 +12,26 @@ DAY_MICROS = 86_400_000_000
 WINDOW_DAYS = 180
 
 
-def ranked_sets(docs: DataFrame, text: str = "text", title: str | None = None) -> DataFrame:
-    """(id, title, n, rare): each document's distinct shingles, the rarest of the corpus first."""
-    named = S.with_shingles(docs.select("id", F.col(text).alias("text"), (F.col(title) if title else F.lit("")).alias("title")))
-    rows = durable(named.select("id", "title", F.explode(S.shingle_set(F.col("shingles"))).alias("s")))
+def classes(docs: DataFrame, text: str = "text", title: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sets, members): documents with the same distinct shingles (and title) are one class, named by its smallest id.
+
+    ``sets`` is (id, title, names) of the named ones; ``members`` is (id, rep, n) of
+    all. Copies then cost one row each, however many there are.
+    """
+    named = S.with_shingles(docs.select("id", F.col(text).alias("text"), (F.coalesce(F.col(title), F.lit("")) if title else F.lit("")).alias("title")))
+    rows = durable(named.select("id", "title", F.array_sort(S.shingle_set(F.col("shingles"))).alias("names")))
+    key = rows.select("id", "title", F.xxhash64("names").alias("h"), F.md5(F.array_join(F.transform("names", lambda x: x.cast("string")), ",")).alias("m"), F.size("names").alias("n"))
+    key = durable(key)
+    on = ["title", "h", "m", "n"]
+    reps = durable(key.groupBy(*on).agg(F.min("id").alias("rep")))
+    members = durable(key.join(reps, on).select("id", "rep", "n"))
+    sets = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    return durable(sets), members
+
+
+def ranked_sets(sets: DataFrame) -> DataFrame:
+    """(id, title, n, rare): each set with the rarest shingles first."""
+    rows = durable(sets.select("id", "title", F.explode("names").alias("s")))
     often = durable(rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
     # What occurs once can't be shared, but it fills the prefix: it ranks first with df 1.
     joined = rows.join(often, "s", "left").select("id", "title", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("x"))
@@ -51,18 +67,42 @@ def candidates(sets: DataFrame, title_route: bool) -> DataFrame:
     return found.distinct()
 
 
-def exact_pairs(docs: DataFrame, text: str = "text", title: str | None = None) -> DataFrame:
-    """Pairs a < b with a verdict: shared, n_a, n_b, jaccard, containment, same_title, verdict.
+def class_pairs(docs: DataFrame, text: str = "text", title: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): verdicts between classes (a < b by their names), and the members of each class.
 
     Set sizes and overlaps are exact. Boilerplate that many documents share ranks
     last and so hardly ever makes two documents meet.
     """
-    sets = ranked_sets(docs, text, title)
+    found, members = classes(docs, text, title)
+    sets = ranked_sets(found)
     pairs = durable(candidates(sets, title is not None))
     side = lambda s: sets.select(F.col("id").alias(s), F.col("rare").alias(f"set_{s}"), F.col("title").alias(f"title_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), ((F.col("title_a") == F.col("title_b")) & (F.col("title_a") != "")).alias("same_title"))
-    return judged(counted)
+    return judged(counted), members
+
+
+def exact_pairs(docs: DataFrame, text: str = "text", title: str | None = None) -> DataFrame:
+    """All pairs a < b of documents with a verdict: shared, n_a, n_b, jaccard, containment, same_title, verdict.
+
+    Spells out the copies of each class; families don't need that and take
+    ``family_edges``.
+    """
+    pairs, members = class_pairs(docs, text, title)
+    pairs = durable(pairs)
+    of = lambda s: members.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"))
+    turned = F.col("id_a") > F.col("id_b")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    across = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "shared", pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "same_title", "jaccard", "containment", "verdict")
+    twins = members.filter("n > 0").select(F.col("id").alias("a"), "rep", "n").join(members.select(F.col("id").alias("b"), "rep"), "rep").filter("a < b")
+    alike = judged(twins.select("a", "b", F.col("n").alias("shared"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(title is not None).alias("same_title")))
+    return across.select(*alike.columns).unionByName(alike)
+
+
+def family_edges(docs: DataFrame, text: str = "text", title: str | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of all automatic pairs: links of classes, and each copy to its class."""
+    pairs, members = class_pairs(docs, text, title)
+    return pairs.filter("verdict = 'auto'").select("a", "b").unionByName(members.filter("n > 0 AND id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
 
 def judged(counted: DataFrame) -> DataFrame:

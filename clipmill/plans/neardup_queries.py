@@ -50,7 +50,8 @@ def relations(spark, sf):
 
 
 def members(spark, sf):
-    return fam.families(relations(spark, sf), docs(spark, sf))
+    edges = neardup.family_edges(docs(spark, sf)).select(F.col("b").alias("from_document_id"), F.col("a").alias("to_document_id"), F.lit("superseded").alias("resolution"))
+    return fam.families(edges, docs(spark, sf))
 
 
 def shingle_counts(spark, sf):
