@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shingles as S
-from ..session import durable
+from ..session import durable, stored
 
 DAY_MICROS = 86_400_000_000
 WINDOW_DAYS = 180
@@ -19,23 +19,23 @@ def classes(docs: DataFrame, text: str = "text", title: str | None = None) -> tu
     all. Copies then cost one row each, however many there are.
     """
     named = S.with_shingles(docs.select("id", F.col(text).alias("text"), (F.coalesce(F.col(title), F.lit("")) if title else F.lit("")).alias("title")))
-    rows = durable(named.select("id", "title", F.array_sort(S.shingle_set(F.col("shingles"))).alias("names")))
+    rows = stored(named.select("id", "title", F.array_sort(S.shingle_set(F.col("shingles"))).alias("names")))
     key = rows.select("id", "title", F.xxhash64("names").alias("h"), F.md5(F.array_join(F.transform("names", lambda x: x.cast("string")), ",")).alias("m"), F.size("names").alias("n"))
-    key = durable(key)
+    key = stored(key)
     on = ["title", "h", "m", "n"]
-    reps = durable(key.groupBy(*on).agg(F.min("id").alias("rep")))
-    members = durable(key.join(reps, on).select("id", "rep", "n"))
+    reps = stored(key.groupBy(*on).agg(F.min("id").alias("rep")))
+    members = stored(key.join(reps, on).select("id", "rep", "n"))
     sets = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    return durable(sets), members
+    return sets, members
 
 
 def ranked_sets(sets: DataFrame) -> DataFrame:
     """(id, title, n, rare): each set with the rarest shingles first."""
-    rows = durable(sets.select("id", "title", F.explode("names").alias("s")))
-    often = durable(rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
+    rows = sets.select("id", "title", F.explode("names").alias("s"))
+    often = stored(rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
     # What occurs once can't be shared, but it fills the prefix: it ranks first with df 1.
     joined = rows.join(often, "s", "left").select("id", "title", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("x"))
-    return durable(joined.groupBy("id", "title").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("rare")).withColumn("n", F.size("rare")))
+    return stored(joined.groupBy("id", "title").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("rare")).withColumn("n", F.size("rare")))
 
 
 def prefix(sets: DataFrame, share: float | None, least: int | None = None) -> DataFrame:
@@ -75,7 +75,7 @@ def class_pairs(docs: DataFrame, text: str = "text", title: str | None = None) -
     """
     found, members = classes(docs, text, title)
     sets = ranked_sets(found)
-    pairs = durable(candidates(sets, title is not None))
+    pairs = stored(candidates(sets, title is not None))
     side = lambda s: sets.select(F.col("id").alias(s), F.col("rare").alias(f"set_{s}"), F.col("title").alias(f"title_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), ((F.col("title_a") == F.col("title_b")) & (F.col("title_a") != "")).alias("same_title"))
@@ -89,7 +89,7 @@ def exact_pairs(docs: DataFrame, text: str = "text", title: str | None = None) -
     ``family_edges``.
     """
     pairs, members = class_pairs(docs, text, title)
-    pairs = durable(pairs)
+    pairs = stored(pairs)
     of = lambda s: members.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"))
     turned = F.col("id_a") > F.col("id_b")
     pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))

@@ -160,12 +160,12 @@ def kept_both_conflicts(spark, sf):
 
 
 def review_queue(spark, sf):
-    none = relations(spark, sf).limit(0).select("from_document_id", "to_document_id", "resolution")
+    none = spark.createDataFrame([], "from_document_id long, to_document_id long, resolution string")
     return neardup.scan_links(pairs(spark, sf), none)[1].select("a", "b", "verdict")
 
 
 def scan_forest(spark, sf):
-    none = relations(spark, sf).limit(0).select("from_document_id", "to_document_id", "resolution")
+    none = spark.createDataFrame([], "from_document_id long, to_document_id long, resolution string")
     return neardup.scan_links(pairs(spark, sf), none)[0]
 
 
