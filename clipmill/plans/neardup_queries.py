@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import shingles as S
 from ..operators import families as fam
 from ..operators import grouping, merge, neardup, sync
+from ..session import durable
 from ..sources.clips import manifest_match
 from ..sources.config import Rule
 from . import model as m
@@ -144,19 +145,19 @@ def current_versions(spark, sf):
 
 
 def supersession_annotation(spark, sf):
-    found = members(spark, sf)
+    found = durable(members(spark, sf))
     tags = fam.repaired_tags(m.tags(spark, sf), found)
     return grouping.annotate(docs(spark, sf).select(F.col("id").alias("document_id")), tags, found)
 
 
 def repaired_tags(spark, sf):
-    return fam.repaired_tags(m.tags(spark, sf), members(spark, sf))
+    return fam.repaired_tags(m.tags(spark, sf), durable(members(spark, sf)))
 
 
 def kept_both_conflicts(spark, sf):
-    kept = relations(spark, sf)
-    made = members(spark, sf).filter("document_id <> family").select(F.col("document_id").alias("from_document_id"), F.col("family").alias("to_document_id"), F.lit(0.0).alias("jaccard"), F.lit("kept_both").alias("resolution"))
-    return fam.conflicts(kept.unionByName(made), members(spark, sf))
+    kept, found = relations(spark, sf), durable(members(spark, sf))
+    made = found.filter("document_id <> family").select(F.col("document_id").alias("from_document_id"), F.col("family").alias("to_document_id"), F.lit(0.0).alias("jaccard"), F.lit("kept_both").alias("resolution"))
+    return fam.conflicts(kept.unionByName(made), found)
 
 
 def review_queue(spark, sf):
