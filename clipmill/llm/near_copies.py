@@ -1,0 +1,148 @@
+"""Near-copies: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more, without a loss.
+
+Two sets with that similarity share at least four fifths of either, so in any
+one order of all shingles they meet among the first n - ceil(4n/5) + 1 of each.
+The order puts shingles that are frequent in a sample of documents last; the
+sample only steers how many candidates there are, never which pairs are found.
+
+Copies are one class. Each class is compared with two members of every shingle
+in its prefix first; only pairs that these links leave in different components
+are made after that, so a large group of near-copies doesn't cost all its pairs.
+Every candidate is checked on whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import KEY, cut, key_of, stored
+from .simhash import SEED, components
+
+WORDS = 5
+#: Similarity as a fraction, so that bounds are whole numbers.
+OVER, UNDER = 4, 5
+#: One document of so many is in the sample; a shingle in so many of them is frequent; at most so many are kept.
+SAMPLE, OFTEN, MOST = 16, 3, 100_000
+
+
+def shingle_names(text: str | None) -> np.ndarray:
+    """Distinct 64-bit names in order; fewer than five words make one shingle, none give none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
+    if not parts:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(WORDS, len(parts))
+    digest, n = xxhash.xxh64_intdigest, len(parts) - k + 1
+    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.unique(hashes.view(np.int64))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def all_names(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_names(t) for t in texts])
+
+
+def prefixes(frequent: list[int]) -> Column:
+    """UDF of a text: its class c (a hash of the set), size n, and the prefix that it must meet others in."""
+    last = np.array(frequent, np.int64)  # rarest first
+    order = np.argsort(last)
+    known = last[order]
+
+    def one(text: str | None) -> tuple:
+        names = shingle_names(text)
+        n = len(names)
+        if not n:
+            return 0, 0, names
+        rank = np.zeros(n, np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+            rank = np.where(known[at] == names, order[at] + 1, 0)
+        need = -(-OVER * n // UNDER)
+        c = np.array([xxhash.xxh3_64_intdigest(names.tobytes())], np.uint64).view(np.int64)[0]
+        return int(c), n, names[np.argsort(rank, kind="stable")][: n - need + 1]
+
+    @F.pandas_udf("c long, n int, rare array<long>")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([one(t) for t in texts], columns=["c", "n", "rare"])
+
+    return udf
+
+
+def frequent_names(df: DataFrame, text_col: str) -> list[int]:
+    """Shingles of many documents of the sample, rarest first; at most ``MOST``."""
+    sample = df.filter(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(F.explode(all_names(text_col)).alias("s"))
+    often = sample.groupBy("s").agg(F.count("*").alias("df")).filter(F.col("df") >= OFTEN).orderBy(F.desc("df"), "s").limit(MOST)
+    return [r.s for r in often.collect()][::-1]
+
+
+def may_reach(n: Column, at: Column, m: Column, place: Column) -> Column:
+    """Whether sets of n and m whose first shared shingle is at these places (from 0) can be similar enough."""
+    return (F.least(n, m) * UNDER >= F.greatest(n, m) * OVER) & (F.least(n - at, m - place) * (OVER + UNDER) >= (n + m) * OVER)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar; ``texts`` has the key of one text per class."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    keys = cut(texts.join(wanted, "c", "left_semi"))
+    keyed = df.select(*key_of(id_col, text_col), F.col(text_col).alias("text"))
+    sets = keyed.join(keys, list(KEY)).dropDuplicates(["c"]).select("c", all_names("text").alias("names"))
+    sets = stored(sets)
+    side = lambda s: sets.select(F.col("c").alias(s), F.col("names").alias(f"names_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("names_a", "names_b")).alias("shared"), (F.size("names_a") + F.size("names_b")).alias("total"))
+    return shared.filter((F.col("total") - F.col("shared")) * OVER <= F.col("shared") * UNDER).select("a", "b")
+
+
+def links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b) between classes whose components are those of all similar pairs."""
+    texts = classes.select("c", *KEY)
+    placed = classes.select("c", "n", F.posexplode("rare").alias("at", "s"))
+    often = cut(placed.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1").select("s"))
+    rows = stored(placed.join(often, "s"))
+    own = F.struct("c", "n", "at")
+    met = cut(rows.groupBy("s").agg(F.min(own).alias("low"), F.max(own).alias("high")))
+
+    ends = rows.join(met, "s").select("c", "n", "at", F.explode(F.array("low", "high")).alias("e")).filter((F.col("c") != F.col("e.c")) & may_reach(F.col("n"), F.col("at"), F.col("e.n"), F.col("e.at")))
+    first = stored(ends.select(F.least("c", "e.c").alias("a"), F.greatest("c", "e.c").alias("b")).distinct())
+    found = stored(verified(first, texts, df, id_col, text_col))
+
+    named = rows.join(components(found).withColumnRenamed("node", "c"), "c", "left").select("s", "c", "n", "at", F.coalesce("root", "c").alias("root"))
+    named = stored(named)
+    apart = cut(named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s"))
+    named = stored(named.join(apart, "s"))
+    x, y = (named.select("s", *[F.col(v).alias(f"{v}_{k}") for v in ("c", "n", "at", "root")]) for k in "ab")
+    more = x.join(y, (x["s"] == y["s"]) & (F.col("c_a") < F.col("c_b")) & (F.col("root_a") != F.col("root_b")) & may_reach(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
+    rest = stored(more.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    return found.unionByName(verified(rest, texts, df, id_col, text_col))
+
+
+def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: KEY and root, which rows of one group of near-copies share."""
+    prefix = prefixes(frequent_names(df, text_col))
+    marked = stored(df.select(*key_of(id_col, text_col), prefix(F.col(text_col)).alias("p")).select(*KEY, "p.*"))
+    classes = stored(marked.groupBy("c").agg(F.min(F.struct(*KEY)).alias("k"), F.first("n").alias("n"), F.first("rare").alias("rare")).select("c", "k.*", "n", "rare"))
+    roots = components(links(df, classes, id_col, text_col)).withColumnRenamed("node", "c")
+    return marked.select(*KEY, "c").join(roots, "c", "left").select(*KEY, F.coalesce("root", "c").alias("root"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, one of each group of near-copies: that of the smallest id (null last, then by text).
+
+    Groups are the components of all pairs of similarity 0.8 or more. Texts
+    without words are one group. Of rows that repeat the kept id and text
+    exactly one stays.
+    """
+    kept = cut(linked(df, id_col, text_col).groupBy("root").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*"))
+    packed = df.select(F.struct("*").alias("row"), *key_of(id_col, text_col))
+    same = Window.partitionBy(*KEY).orderBy("mark")
+    return packed.join(kept, list(KEY), "left_semi").withColumn("n", F.row_number().over(same)).filter("n = 1").select("row.*")

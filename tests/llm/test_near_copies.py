@@ -1,0 +1,80 @@
+import random
+import re
+
+import corpus_pipeline
+from clipmill.llm import near_copies
+from clipmill.llm.common import table
+
+
+def shingles(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute(rows):
+    """The smallest id of each component of all pairs with five-word Jaccard similarity 0.8 or more."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i for i in parent if find(i) == i}
+
+
+def fixture(rng):
+    """Edited copies with similarities on both sides of 0.8, a line that many share, short and empty texts."""
+    word = lambda: rng.choice("lake north moves slowly stone river cold deep".split()) + str(rng.randint(0, 60))
+    boiler = " ".join(word() for _ in range(12))
+    texts = ["", None, "  ", "one two", "One  two", "a b c d e", "a b c d f"]
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(20, 200))]
+        for _ in range(rng.randint(1, 12)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy) + (f" {boiler}" if rng.random() < 0.5 else ""))
+            if rng.random() < 0.4:
+                base = copy  # chains: their ends are less alike than 0.8
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_stage_matches_brute_force(spark):
+    rows = fixture(random.Random(3))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute(rows)
+    assert len(expected) < len(rows) - 20
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(expected)
+
+
+def test_order_of_shingles_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)  # many shingles are frequent
+    rows = fixture(random.Random(8))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_copies.frequent_names(df, "text")
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == brute(rows)
+
+
+def test_stage_on_the_sample_table(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == brute(rows)
+
+
+def test_rows_ties_nulls_and_names(spark):
+    text = "a b c d e f g"
+    rows = [(3, text, 1), (1, text.upper(), 1), (2, None, 1), (7, "", 1), (None, text, 1), (1, text.upper(), 1), (9, "something else entirely here", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, root long")
+    kept = near_copies.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 9]
+    assert near_copies.keep_one(df.limit(0)).count() == 0
