@@ -2,7 +2,8 @@
 
 Features, tree scores and rules are column expressions. The trees are fitted on
 the driver from at most ``max_train`` labelled URLs, taken in the order of a
-hash, so the fit has a fixed cost whatever the size of the table.
+hash, so the fit has a fixed cost whatever the size of the table. Suffix
+statistics count all URLs, and all labelled ones for the rate.
 """
 
 from __future__ import annotations
@@ -81,8 +82,8 @@ def lexical(df: DataFrame, url_col: str) -> DataFrame:
 
 
 def with_suffixes(lexed: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """``suffixes`` has at most ``max_train`` rows, as it comes from the labelled sample: a proven bound."""
-    joined = lexed.join(F.broadcast(suffixes), "suffix", "left")
+    """An ordinary join, as the number of suffixes isn't bounded."""
+    joined = lexed.join(suffixes, "suffix", "left")
     return joined.withColumn("suffix_count", F.coalesce("suffix_count", F.lit(0.0))).withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(0.5)))
 
 
@@ -143,10 +144,12 @@ def fit(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = FEATURES, trees:
 
 
 def train(lexed: DataFrame, label: Column, max_train: int = 20_000) -> tuple[Boosted, DataFrame]:
-    """Fit on at most ``max_train`` rows whose ``label`` (1 block, 0 allow) isn't null; also gives the suffix table."""
-    known = lexed.withColumn("label", label).filter("label IS NOT NULL").select("url", "suffix", "label", *FEATURES[:-2])
+    """Fit on at most ``max_train`` rows whose ``label`` (1 block, 0 allow) isn't null; also gives the suffix table of all rows."""
+    marked = lexed.withColumn("label", label)
+    counts = marked.groupBy("suffix").agg(F.log1p(F.count("*").cast("double")).alias("suffix_count"), ((F.coalesce(F.sum("label"), F.lit(0)) + 1) / (F.count("label") + 2)).alias("suffix_rate"))
+    suffixes = cut(counts)  # the join then has two plain exchanges, so that hot suffixes can be split
+    known = marked.filter("label IS NOT NULL").select("url", "suffix", "label", *FEATURES[:-2])
     sample = cut(known.orderBy(F.xxhash64("url"), "url", "label").limit(max_train))
-    suffixes = sample.groupBy("suffix").agg(F.log1p(F.count("*").cast("double")).alias("suffix_count"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_rate"))
     rows = with_suffixes(sample, suffixes).select("label", *FEATURES).collect()
     data = np.array(sorted(tuple(r) for r in rows), float).reshape(-1, 1 + len(FEATURES))
     return fit(data[:, 1:], data[:, 0]), suffixes

@@ -51,3 +51,14 @@ def test_fit_is_bounded_deterministic_and_survives_no_labels(spark):
     none = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     assert url_filter.judge(none).first().verdict == "allow"
     assert url_filter.judge(none.limit(0)).count() == 0
+
+
+def test_suffixes_count_all_urls(spark):
+    """Statistics cover URLs that no rule labels, and labelled ones beyond the sample."""
+    urls = [f"http://a.org/{i}" for i in range(30)] + [f"http://a.net/es/{i}" for i in range(4)] + [f"http://a.net/x/{i}" for i in range(10)] + [f"http://a.com/{i}" for i in range(20)]
+    lexed = url_filter.lexical(spark.createDataFrame([(u,) for u in urls], "url string"), "url")
+    said = url_filter.chosen(url_filter.RULES, F.col("host"), F.col("path"), "verdict")
+    _, suffixes = url_filter.train(lexed, F.when(said == "block", 1).when(said == "allow", 0), max_train=5)
+    found = {r.suffix: (round(float(np.expm1(r.suffix_count))), round(r.suffix_rate, 6)) for r in suffixes.collect()}
+    assert found == {"org": (30, 0.5), "net": (14, round(5 / 6, 6)), "com": (20, round(1 / 22, 6))}
+    assert url_filter.with_suffixes(lexed, suffixes).count() == len(urls)
