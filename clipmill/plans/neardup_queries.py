@@ -94,6 +94,20 @@ def minhash_jaccard(spark, sf):
     return both.groupBy("a", "b").agg(F.round(F.count_if(F.col("low_a") == F.col("low_b")) / 4, 6).alias("estimate"))
 
 
+def minhash_md5_signature_128(spark, sf):
+    """All lanes of the md5 signature; the one above has the four of its SQL."""
+    rows = S.with_shingles(docs(spark, sf).select("id", "text")).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct("shingles")).alias("s"))
+    return S.minhash_md5(rows, "doc_id", "s", S.LANES)
+
+
+def minhash_jaccard_128(spark, sf):
+    """Share of equal md5 lanes of near-duplicate pairs, by all lanes."""
+    low = minhash_md5_signature_128(spark, sf)
+    side = lambda s: low.select(F.col("doc_id").alias(s), "lane", F.col("low").alias(f"low_{s}"))
+    both = pairs(spark, sf).select("a", "b").join(side("a"), "a").join(side("b"), ["b", "lane"])
+    return both.groupBy("a", "b").agg((F.count_if(F.col("low_a") == F.col("low_b")) / S.LANES).alias("estimate"))
+
+
 def signature_estimates(spark, sf):
     """Estimates of the 128-lane signatures against exact values."""
     signed = S.signatures(docs(spark, sf).select("id", "text")).select("id", "signature")
@@ -208,7 +222,7 @@ def manifest_rules(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        shingle_counts, exact_jaccard_pairs, exact_titled_pairs, containment_pairs, minhash_md5_signature, minhash_jaccard, signature_estimates, estimated_overlap, shared_block, dup_window_candidates,
+        shingle_counts, exact_jaccard_pairs, exact_titled_pairs, containment_pairs, minhash_md5_signature, minhash_jaccard, minhash_md5_signature_128, minhash_jaccard_128, signature_estimates, estimated_overlap, shared_block, dup_window_candidates,
         gray_predecessor, signature_cascade, version_families, current_versions, supersession_annotation, repaired_tags, kept_both_conflicts, review_queue, scan_forest, thread_overlap, positional_merge,
         same_author_runs, sync_classification, manifest_rules,
     )
