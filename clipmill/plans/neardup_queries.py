@@ -143,11 +143,19 @@ def gray_predecessor(spark, sf):
     return neardup.decided(cases).select("new_id", "old_id", "resolution")
 
 
-def signature_cascade(spark, sf):
+def signature_cases(spark, sf):
     weekly = docs(spark, sf).select("id", "text", m.days_after("id").alias("clip_date"), F.col("source_title").alias("title"))
     signed = S.signatures(weekly).drop("names")
-    cases = neardup.signature_candidates(signed, signed).filter("old_id < new_id")
-    return cases.select("new_id", "old_id", "similarity", "verdict")
+    return neardup.signature_candidates(signed, signed).filter("old_id < new_id")
+
+
+def signature_cascade(spark, sf):
+    return signature_cases(spark, sf).select("new_id", "old_id", "similarity", "verdict")
+
+
+def gray_predecessor_signatures(spark, sf):
+    """Decisions for the signature verdicts of all pairs of the date window."""
+    return neardup.decided(durable(signature_cases(spark, sf))).select("new_id", "old_id", "resolution")
 
 
 def version_families(spark, sf):
@@ -223,7 +231,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         shingle_counts, exact_jaccard_pairs, exact_titled_pairs, containment_pairs, minhash_md5_signature, minhash_jaccard, minhash_md5_signature_128, minhash_jaccard_128, signature_estimates, estimated_overlap, shared_block, dup_window_candidates,
-        gray_predecessor, signature_cascade, version_families, current_versions, supersession_annotation, repaired_tags, kept_both_conflicts, review_queue, scan_forest, thread_overlap, positional_merge,
+        gray_predecessor, gray_predecessor_signatures, signature_cascade, version_families, current_versions, supersession_annotation, repaired_tags, kept_both_conflicts, review_queue, scan_forest, thread_overlap, positional_merge,
         same_author_runs, sync_classification, manifest_rules,
     )
 }

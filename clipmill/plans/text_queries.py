@@ -144,6 +144,11 @@ def single_author(spark, sf):
     return worklists.single_author(turns(spark, sf).filter("position % 2 = document_id % 2 OR document_id % 3 = 0"))
 
 
+def single_author_all(spark, sf):
+    """Over all turns; the one above takes those of its SQL."""
+    return worklists.single_author(turns(spark, sf))
+
+
 def full_text(spark, sf):
     return worklists.full_text(turns(spark, sf)).select("document_id", F.sha2("text", 256).alias("text_sha256"))
 
@@ -220,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_ascii, strip_suffix, group_key, title_groups, truncate_bytes, length_tier, diff_regions, claim_lines, doctype_detection, clip_header_date, chunk_windows, chunk_snapped, sentence_boundaries,
-        markdown_sections, mail_summary_entries, chat_entries, email_entries, email_issues, line_candidates, source_hash, single_author, full_text, yank_text, entry_chunks, pending_embeddings,
+        markdown_sections, mail_summary_entries, chat_entries, email_entries, email_issues, line_candidates, source_hash, single_author, single_author_all, full_text, yank_text, entry_chunks, pending_embeddings,
         needs_extraction, needs_derivation, needs_diff_summary, transcript_segments, orphan_rows, upsert_relations, event_windows, event_sessions, stream_replay,
     )
 }
