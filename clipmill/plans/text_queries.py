@@ -73,6 +73,13 @@ def claim_lines(spark, sf):
     return t.select("conv_id", "turn", F.posexplode(T.claims(answer)).alias("n", "claim"))
 
 
+def claim_lines_whole(spark, sf):
+    """Over whole turns; the one above takes the parts of its SQL."""
+    t = m.table(spark, sf, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    answer = F.concat(F.lit("Here are the claims:\n- "), F.col("text"), F.lit("\n\n1. [x] "), F.col("text"), F.lit("\n[source] told\n[only]\nNote: none\n1234. kept"))
+    return t.select("conv_id", "turn", F.posexplode(T.claims(answer)).alias("n", "claim"))
+
+
 def doctype_detection(spark, sf):
     return titled(spark, sf).select("doc_id", clips.detect(F.col("title"), F.when(F.col("doc_id") % 7 == 0, "md").otherwise("txt"), F.col("text")).alias("doctype"))
 
@@ -224,7 +231,7 @@ def stream_replay(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_ascii, strip_suffix, group_key, title_groups, truncate_bytes, length_tier, diff_regions, claim_lines, doctype_detection, clip_header_date, chunk_windows, chunk_snapped, sentence_boundaries,
+        normalize_ascii, strip_suffix, group_key, title_groups, truncate_bytes, length_tier, diff_regions, claim_lines, claim_lines_whole, doctype_detection, clip_header_date, chunk_windows, chunk_snapped, sentence_boundaries,
         markdown_sections, mail_summary_entries, chat_entries, email_entries, email_issues, line_candidates, source_hash, single_author, single_author_all, full_text, yank_text, entry_chunks, pending_embeddings,
         needs_extraction, needs_derivation, needs_diff_summary, transcript_segments, orphan_rows, upsert_relations, event_windows, event_sessions, stream_replay,
     )

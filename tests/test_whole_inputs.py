@@ -19,3 +19,13 @@ def test_decisions_follow_the_signatures(spark, sf):
     expected |= {(new, max(x["gray"]), "review") for new, x in cases.items() if x["gray"] and not x["auto"]}
     found = [tuple(r) for r in e.queries()["gray_predecessor_signatures"](spark, sf).collect()]
     assert expected and sorted(found) == sorted(expected)
+
+
+def test_claims_of_whole_turns(spark, sf):
+    expected = set()
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        text = r.text.replace("\n", " ")
+        claims = [c for c in (text.strip(), f"[x] {text}".strip(), "told", "[only]", "1234. kept") if c]
+        expected |= {(r.conv_id, r.turn, n, c) for n, c in enumerate(claims)}
+    assert any(len(x[3]) > 100 for x in expected)
+    assert {tuple(r) for r in e.queries()["claim_lines_whole"](spark, sf).collect()} == expected
