@@ -69,7 +69,7 @@ def test_gray_neighbours_differ_in_one_bit():
 
 
 def test_distributed_components_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PART", 20)  # so that buckets are cut into parts
+    monkeypatch.setattr(simhash, "SPAN", 20)  # so that runs of one block are cut into ranges
     rng = random.Random(7)
     values = sorted(set().union(cluster(rng, 300, 2), *(cluster(rng, 15, 3) for _ in range(8)), {rng.getrandbits(64) for _ in range(200)}))
     signed = [int(np.uint64(v).view(np.int64)) for v in values]
@@ -89,3 +89,45 @@ def test_rows_ties_nulls_and_names(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
     only = simhash.near_duplicates(df.filter(F.col("doc_id").isNull())).collect()
     assert [(r.doc_id, r.component_id) for r in only] == [(None, None)]
+
+
+def test_a_hot_block_of_many_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPAN", 1500)
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 1 << 64, 20_000, np.uint64, endpoint=False)
+    values[:7000] = (values[:7000] >> np.uint64(16)) | np.uint64(0xABCD << 48)  # a third shares its first block
+    source = rng.integers(0, 14_000, 3000)
+    for _ in range(3):  # the last are copies with up to three bits turned
+        turned = np.uint64(1) << rng.integers(0, 64, 3000, np.uint64)
+        values[17_000:] = (values[source] if _ == 0 else values[17_000:]) ^ turned
+    values = np.unique(values)
+    pairs = []
+    for at in range(0, len(values), 500):
+        near = np.bitwise_count(values[at : at + 500, None] ^ values[None]) <= 3
+        pairs += [(int(a) + at, int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a + at < b]
+    signed = [int(v) for v in values.view(np.int64)]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long").repartition(4)
+    links = {(r.a, r.b) for r in simhash.candidate_links(df).collect()}
+    truth = roots(range(len(values)), pairs)
+    place = {v: i for i, v in enumerate(signed)}
+    assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 3 for a, b in links)
+    assert roots(range(len(values)), [(place[a], place[b]) for a, b in links]) == truth and len(pairs) > 1000
+    assert len(links) < 4 * len(values)
+
+
+def test_every_link_comes_from_the_index(monkeypatch):
+    calls = []
+    walk = simhash.GrayIndex.search
+    monkeypatch.setattr(simhash.GrayIndex, "search", lambda self, *a, **k: calls.append(len(self.values)) or walk(self, *a, **k))
+    for n in (1, 2, 5, 300):
+        words = np.arange(n, dtype=np.uint64)[:, None]
+        found = [np.concatenate(x) for x in zip(*simhash.range_links(words[:, 0], words, np.zeros(n, bool), None, 3, (3,)), strict=True)]
+        assert len(found[0] if found else []) == n - 1 and calls and calls[-1] == n  # no size goes another way
+
+
+def test_large_group_leaves_a_forest():
+    rng = np.random.default_rng(3)
+    words = np.uint64(0xABCDEF0123456789) ^ (np.uint64(1) << rng.integers(0, 48, 4000, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 48, 4000, np.uint64))
+    words = np.unique(words)[:, None]
+    links = list(simhash.range_links(words[:, 0], words, np.zeros(len(words), bool), None, 3, (3,)))
+    assert sum(len(a) for a, _ in links) == len(words) - 1
