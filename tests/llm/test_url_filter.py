@@ -62,3 +62,38 @@ def test_suffixes_count_all_urls(spark):
     found = {r.suffix: (round(float(np.expm1(r.suffix_count))), round(r.suffix_rate, 6)) for r in suffixes.collect()}
     assert found == {"org": (30, 0.5), "net": (14, round(5 / 6, 6)), "com": (20, round(1 / 22, 6))}
     assert url_filter.with_suffixes(lexed, suffixes).count() == len(urls)
+
+
+def test_uncovered_urls_get_both_verdicts_and_labels_hold_out(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    judged = url_filter.judge(pages.select("page_id", "url"))
+    free = {r.verdict: r["count"] for r in judged.filter("rule IS NULL").groupBy("verdict").count().collect()}
+    assert min(free.get("allow", 0), free.get("block", 0)) > 10
+    report = url_filter.held_out_report(url_filter.lexical(pages, "url"), url_filter.weak_label(F.col("url")))
+    assert report["auc"] > 0.95 and abs(report["mean_score"] - report["blocked"]) < 0.1 and report["n"] > 20
+
+
+def test_no_label_reaches_its_own_rate(spark):
+    """Labels that are noise can't be learned: the rate of a URL leaves out its own fold."""
+    rng = random.Random(9)
+    rows = [(f"http://h.s{i}/{rng.randint(0, 9)}", rng.randint(0, 1)) for i in range(600)]
+    lexed = url_filter.lexical(spark.createDataFrame(rows, "url string, bad int"), "url")
+    rates = url_filter.with_suffixes(lexed, url_filter.suffix_table(lexed.withColumn("label", F.col("row.bad")))).select("suffix_rate").distinct().collect()
+    assert [r[0] for r in rates] == [0.5]
+    assert 0.35 < url_filter.held_out_report(lexed, F.col("row.bad"))["auc"] < 0.65
+
+
+def test_repeats_of_one_url_are_one_example(spark):
+    rows = [("http://a.org/x?ref=1",)] * 500 + [(f"http://b.org/{i}",) for i in range(40)]
+    marked = url_filter.lexical(spark.createDataFrame(rows, "url string"), "url").withColumn("label", url_filter.weak_label(F.col("url")))
+    x, y, _ = url_filter.labelled_sample(marked, url_filter.suffix_table(marked), 30)
+    assert len(y) == 30 and y.sum() <= 1
+    model = url_filter.fit(x, y)
+    assert np.allclose(model.predict(x), 1 / (1 + np.exp(-model.base))) or len(model.trees)
+
+
+def test_arrays_and_columns_score_alike(spark):
+    lexed = url_filter.lexical(spark.createDataFrame([(u,) for u in urls(random.Random(3), 200)], "url string"), "url")
+    model, suffixes = url_filter.train(lexed, url_filter.weak_label(F.col("url")))
+    rows = url_filter.with_suffixes(lexed, suffixes).select(model.score().alias("s"), *url_filter.FEATURES).collect()
+    assert np.allclose([r[0] for r in rows], model.predict(np.array([tuple(r)[1:] for r in rows], float)))
