@@ -7,11 +7,16 @@ no source is above. A clamp only depends on the water level, so each turn of the
 loop is one aggregate over the table of sources and three numbers on the driver.
 
 Sampling: a target is a number of whole repetitions of the source and a
-remainder. The remainder is filled in the order of a seeded hash. A histogram of
-hash prefixes finds the prefix where the running sum crosses the remainder, and
-only rows of that prefix (1/4096 of a source) are ordered to find the last row
-taken. The rule for a row is then a comparison with one bound of its source, so
-texts are never shuffled, and a rerun takes the same rows.
+remainder. The remainder is filled in the order of a seeded hash of the id. Two
+histograms of hash digits (15 bits each) find the prefix where the running sum
+crosses the remainder; of that prefix, 2^-30 of a source, rows are counted by
+(hash, id, size) and only the counts are put in order. The rule for a row is then
+a comparison with one bound of its source, so texts are never shuffled, and a
+rerun takes the same rows.
+
+Ties: of rows that share hash, id and size the remainder may take some. They are
+told apart by a hash of their texts, again by counts; of rows equal in that too
+the exact number is taken by their place in a written table.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-HASH_BITS, PREFIX_BITS = 60, 12
+HASH_BITS, DIGIT = 60, 15
 SMALL_TABLE = 100_000
 
 
@@ -60,8 +65,8 @@ def water_level(caps: DataFrame, total: int) -> tuple[int, int]:
 
 
 def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = 3, seed: int = 7) -> DataFrame:
-    """One row per source: source, source_size, target, whole, bound."""
-    base = cut(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), sizes(df, text_col).alias("size"), seeded(id_col, seed).alias("h")))
+    """One row per source: source, source_size, target, whole, bound, and what the remainder takes of a tie."""
+    base = cut(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), sizes(df, text_col).alias("size"), seeded(id_col, seed).alias("h"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")))
     sources = ranked(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     caps = cut(sources.select("source", "source_size", (F.col("source_size") * max_epochs).cast("decimal(38,0)").alias("cap"), (F.col("rank") % 3 + 1).cast("decimal(38,0)").alias("weight")))
     total = int(caps.agg(F.sum("source_size")).first()[0] or 0)
@@ -72,21 +77,46 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"), F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"))
     )
-    shift = HASH_BITS - PREFIX_BITS
-    keyed = base.select("doc_id", "size", "h", F.shiftright("h", shift).alias("prefix"), F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"))
-    upto = Window.partitionBy("key", "none").orderBy("prefix")
-    bins = keyed.groupBy("key", "none", "prefix").agg(F.sum("size").alias("n")).withColumn("before", F.sum("n").over(upto) - F.col("n"))
-    crossing = cut(
-        by_source(bins, targets.select("key", "none", "rest")).filter("before <= rest AND rest < before + n").select("key", "none", "prefix", "before", "rest")
-    )
-    near = keyed.join(hint(crossing), ["key", "none", "prefix"])
-    inside = Window.partitionBy("key", "none").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    taken = near.filter("size > 0").withColumn("prior", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))).filter("prior + size / 2 <= rest")
-    last = taken.groupBy("key", "none").agg(F.max(F.struct("h", "doc_id", "size")).alias("last"))
+    keyed = base.select("doc_id", "size", "h", "mark", F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"))
+    at = targets.select("key", "none", "rest", F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("prefix"))
+    for level in (1, 2):
+        at = cut(crossing(keyed, at, HASH_BITS - level * DIGIT))
+    groups = within(keyed, at, HASH_BITS - 2 * DIGIT).filter("size > 0").groupBy("key", "none", "before", "rest", "h", "doc_id", "size").agg(F.count("*").alias("m"))
+    upto = Window.partitionBy("key", "none").orderBy("h", "doc_id", "size")
+    run = groups.withColumn("prior", F.col("before") + F.sum(F.col("size") * F.col("m")).over(upto) - F.col("size") * F.col("m"))
+    fit = F.greatest(F.lit(0), F.least(F.col("m"), F.floor((F.col("rest") - F.col("prior") - F.col("size") / 2) / F.col("size")).cast("bigint") + 1))
+    run = cut(run.select("key", "none", F.struct("h", "doc_id", "size").alias("place"), "m", fit.alias("k")))
+    last = run.filter("k = m").groupBy("key", "none").agg(F.max("place").alias("last"))
+    split = run.filter("0 < k AND k < m").select("key", "none", F.col("place").alias("tie"), "k")  # one row of a source at most
     top = F.lit((1 << 63) - 1)
-    floor = F.struct((F.shiftleft(F.col("prefix"), shift) - 1).alias("h"), top.alias("doc_id"), top.alias("size"))
-    bounds = crossing.join(last, ["key", "none"], "left").select("key", "none", F.coalesce("last", floor).alias("bound"))
-    return cut(targets.join(bounds, ["key", "none"], "left").select("key", "none", "source_size", "target", "whole", "bound"))
+    floor = F.struct((F.shiftleft(F.col("prefix"), HASH_BITS - 2 * DIGIT) - 1).alias("h"), top.alias("doc_id"), top.alias("size"))
+    bounds = at.join(last, ["key", "none"], "left").select("key", "none", F.coalesce("last", floor).alias("bound"))
+    known = targets.join(bounds, ["key", "none"], "left").join(tied(keyed, cut(split)), ["key", "none"], "left")
+    return cut(known.select("key", "none", "source_size", "target", "whole", "bound", "tie", "upto_mark", "in_mark", "in_count"))
+
+
+def within(keyed: DataFrame, at: DataFrame, shift: int) -> DataFrame:
+    """Rows of ``keyed`` that have their source's prefix."""
+    return keyed.withColumn("prefix", F.shiftright("h", shift)).join(hint(at), ["key", "none", "prefix"])
+
+
+def crossing(keyed: DataFrame, at: DataFrame, shift: int) -> DataFrame:
+    """Per source the prefix, a digit longer than that of ``at``, where the running sum crosses ``rest``."""
+    upto = Window.partitionBy("key", "none").orderBy("digit")
+    bins = within(keyed, at, shift + DIGIT).groupBy("key", "none", "before", "rest", F.shiftright("h", shift).alias("digit")).agg(F.sum("size").alias("n"))
+    bins = bins.withColumn("before", F.col("before") + F.sum("n").over(upto) - F.col("n"))
+    return bins.filter("before <= rest AND rest < before + n").select("key", "none", F.col("digit").alias("prefix"), "before", "rest")
+
+
+def tied(keyed: DataFrame, split: DataFrame) -> DataFrame:
+    """Of sources whose remainder takes k rows of a tie: tie, the last text hash taken whole, the next one and how many of it."""
+    rows = keyed.join(hint(split), ["key", "none"]).filter(F.struct("h", "doc_id", "size").eqNullSafe(F.col("tie")))
+    upto = Window.partitionBy("key", "none").orderBy("mark")
+    marks = rows.groupBy("key", "none", "tie", "k", "mark").agg(F.count("*").alias("m"))
+    run = marks.withColumn("fit", F.greatest(F.lit(0), F.least(F.col("m"), F.col("k") - F.sum("m").over(upto) + F.col("m"))))
+    some = F.when((F.col("fit") > 0) & (F.col("fit") < F.col("m")), F.struct("mark", "fit"))
+    found = run.groupBy("key", "none").agg(F.first("tie").alias("tie"), F.max(F.when(F.col("fit") == F.col("m"), F.col("mark"))).alias("upto_mark"), F.max(some).alias("some"))
+    return found.select("key", "none", "tie", "upto_mark", F.col("some.mark").alias("in_mark"), F.col("some.fit").alias("in_count"))
 
 
 def hint(small: DataFrame) -> DataFrame:
@@ -102,13 +132,32 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """All rows of ``df`` as struct ``row`` with size, source_size, target and copies.
 
     ``copies`` (0 to ``max_epochs``) says how often the mix repeats the row. Null
-    texts have size 0; a null source is a source of its own, the last; rows that
-    repeat id, source and size are taken together; an empty table gives none.
+    texts have size 0; a null source is a source of its own, the last; null ids
+    share one place in the order and are told apart by their texts; rows that
+    repeat id, source and text are taken one by one, so a source misses its target
+    by one row at most; an empty table gives none.
     """
-    packed = df.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), sizes(df, text_col).alias("size"), seeded(id_col, seed).alias("h"), F.coalesce(F.col(source_col), F.lit("")).alias("key"), F.col(source_col).isNull().alias("none"))
-    joined = by_source(packed, plan(df, id_col, text_col, source_col, max_epochs, seed))
-    extra = F.coalesce(F.struct("h", F.col("doc_id").cast("long").alias("doc_id"), "size") <= F.col("bound"), F.lit(False)).cast("long")
-    return joined.select("row", "doc_id", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    texts = F.coalesce(F.col(text_col), F.lit(""))
+    packed = df.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), sizes(df, text_col).alias("size"), seeded(id_col, seed).alias("h"), F.xxhash64(texts).alias("mark"), F.coalesce(F.col(source_col), F.lit("")).alias("key"), F.col(source_col).isNull().alias("none"))
+    known = plan(df, id_col, text_col, source_col, max_epochs, seed)
+    joined = by_source(packed, known)
+    place = F.struct("h", F.col("doc_id").cast("long").alias("doc_id"), "size")
+    in_tie = F.col("tie").isNotNull() & place.eqNullSafe(F.col("tie"))
+    below = F.coalesce(place <= F.col("bound"), F.lit(False)) | F.coalesce(in_tie & (F.col("mark") <= F.col("upto_mark")), F.lit(False))
+    out = lambda rows, extra: rows.select("row", "doc_id", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    if not known.filter("in_count IS NOT NULL").limit(1).count():
+        return out(joined, below.cast("long"))
+    alike = F.coalesce(in_tie & (F.col("mark") == F.col("in_mark")), F.lit(False))
+    return out(joined.filter(~alike), below.cast("long")).unionByName(out(placed(joined.filter(alike)), (F.col("nth") < F.col("in_count")).cast("long")))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows``, written, with ``nth`` from 0 in each source; no task numbers more than a partition of them."""
+    rows = cut(rows).withColumn("mid", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+    before = Window.partitionBy("key", "none").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("key", "none", "part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = Window.partitionBy("key", "none", "part").orderBy("mid")
+    return rows.withColumn("own", F.row_number().over(inside) - 1).join(counts.drop("n"), ["key", "none", "part"]).withColumn("nth", F.col("offset") + F.col("own"))
 
 
 def expand(mixed: DataFrame) -> DataFrame:
