@@ -30,7 +30,7 @@ def overlaps(stored: DataFrame, new: DataFrame, least: int = MERGE_BYTES) -> Dat
 
 
 def positional_merge(stored: DataFrame, new: DataFrame, least: int = MERGE_BYTES) -> DataFrame:
-    """Entries of ``new`` to append: new_doc, document_id, position, author, body.
+    """Entries of ``new`` to append: new_doc, document_id, position, author, body, and new_position, their place in the new text.
 
     Each new text goes to the first stored document of its key that overlaps it;
     what comes after the run is appended from the largest position + 1 on, what
@@ -41,7 +41,7 @@ def positional_merge(stored: DataFrame, new: DataFrame, least: int = MERGE_BYTES
     first = hits.groupBy("new_doc").agg(F.min_by(F.struct("document_id", (F.col("new_start") + F.col("run_length")).alias("from")), "document_id").alias("h")).select("new_doc", "h.*")
     top = stored.groupBy("document_id").agg(F.coalesce(F.max("position"), F.lit(0)).alias("top"))
     rest = new.join(first, "new_doc").filter(F.col("position") >= F.col("from")).join(top, "document_id")
-    return rest.select("new_doc", "document_id", (F.col("top") + 1 + F.col("position") - F.col("from")).cast("int").alias("position"), "author", "body")
+    return rest.select("new_doc", "document_id", (F.col("top") + 1 + F.col("position") - F.col("from")).cast("int").alias("position"), "author", "body", F.col("position").alias("new_position"))
 
 
 def author_runs(entries: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import logging
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import shingles as S
 from ..functions.chunking import chunked
-from ..functions.parsers import PARSERS, Entry, segment
+from ..functions.parsers import PARSERS, Entry, attempt, script_parser, segment
 from ..functions.text import normalize_to_ascii, strip_source_suffix
 from ..operators import families, merge, neardup, sync
 from ..session import durable
@@ -18,21 +21,25 @@ from ..sources.config import BUILT_IN, DocType, Project
 from ..sources.store import Store, with_ids
 
 Parser = Callable[[str], list[Entry]]
+LOG = logging.getLogger(__name__)
 
 
-def segmented(described: DataFrame, own: dict[str, Parser] | None = None) -> DataFrame:
-    """Entries of clips, by the parser of their type or an own one named like the type."""
-    own, parts = own or {}, []
+def segmented(described: DataFrame, own: dict[str, Parser] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, failures): clips by an own parser named like their type, the script of their type, or its parser.
+
+    ``failures`` has path and error of each clip on which its parser failed; the others go on.
+    """
+    own = own or {}
     name = F.coalesce("doctype_name", F.lit(""))
-    for doctype, function in own.items():
-        parts.append(segment(described.filter(name == doctype), function))
-    rest = described.filter(~name.isin(*own)) if own else described
-    for parser in ("whole", "markdown", "copilot_email"):
-        parts.append(segment(rest.filter(F.col("parser") == parser), PARSERS[parser]))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    scripts = [r.preprocessor for r in described.select("preprocessor").distinct().collect() if r.preprocessor]  # one per configured type at most
+    own_name, scripted = name.isin(*own) if own else F.lit(False), F.col("preprocessor").isNotNull()
+    parts = [attempt(described.filter(name == doctype), function) for doctype, function in own.items()]
+    parts += [attempt(described.filter(~own_name & (F.col("preprocessor") == script)), script_parser(os.path.expanduser(script))) for script in scripts]
+    parts += [attempt(described.filter(~own_name & ~scripted & (F.col("parser") == parser)), parser) for parser in PARSERS]
+    tried = durable(functools.reduce(DataFrame.unionByName, parts))
+    kept = [c for c in described.columns if c != "preprocessor"]
+    entries = tried.filter("error IS NULL").select(*kept, F.posexplode("entries").alias("position", "__e")).select(*kept, "position", "__e.*")
+    return entries, tried.filter("error IS NOT NULL").select("path", "error")
 
 
 def tidied(entries: DataFrame, types: tuple[DocType, ...]) -> DataFrame:
@@ -73,24 +80,55 @@ def recompute(store: Store) -> None:
 def ingest(store: Store, batch: DataFrame, types: tuple[DocType, ...] = BUILT_IN, own: dict[str, Parser] | None = None, force: bool = False, on_gray: str = "queue", now: str | None = None, tidy: bool = False) -> DataFrame:
     """Take in clips (path, raw): merge growing threads, store the rest, link near-duplicates; gives the review queue.
 
+    Clips of one thread (equal merge key) are taken one after another in the order
+    of their paths, each by what the ones before it left in the store; clips of
+    different threads are taken together. A clip that isn't UTF-8 or on which its
+    parser fails is logged and passed over.
+
     ``on_gray``: what becomes of a pair that is only likely: ``queue`` (stored,
     left for review), ``supersede`` or ``keep_both``. ``tidy`` applies the clean-up
     options of the types.
     """
-    fresh = durable(clips.described(clips.unseen(batch, store.read("documents"), force), types, now))
-    entries = segmented(fresh, own)
+    unread = durable(clips.unseen(batch, store.read("documents"), force))
+    fresh = durable(clips.described(unread.filter("raw IS NOT NULL"), types, now).withColumn("merge_key", strip_source_suffix(F.col("source_title"))))
+    entries, failures = segmented(fresh, own)
+    told(unread.filter("raw IS NULL").select("path", F.lit("not UTF-8").alias("error")).unionByName(failures))
+    fresh = fresh.drop("preprocessor").join(failures, "path", "left_anti")
+    entries = entries.drop("merge_key")
     entries = durable(tidied(entries, types) if tidy else entries)
-    described = fresh.withColumn("merge_key", strip_source_suffix(F.col("source_title")))
-
+    thread = (F.col("merge_strategy") == "positional") & (F.col("merge_key") != "")
+    turn = F.row_number().over(Window.partitionBy("merge_key").orderBy("path"))
+    turns = durable(fresh.filter(thread).withColumn("turn", turn).unionByName(fresh.filter(~thread).withColumn("turn", F.lit(1))))
+    last = turns.agg(F.max("turn")).first()[0] or 1
+    queues = []
+    for n in range(1, last + 1):
+        part = turns.filter(F.col("turn") == n).drop("turn")
+        queues.append(take(store, part, entries.join(part.select("path"), "path", "left_semi"), on_gray))
+    return functools.reduce(DataFrame.unionByName, queues)
+
+
+def told(failures: DataFrame, most: int = 20) -> None:
+    """Log how many clips failed, and the first of them."""
+    failed = durable(failures)
+    count = failed.count()
+    for row in failed.orderBy("path").limit(most).collect():
+        LOG.warning("passed over %s: %s", row.path, row.error)
+    if count > most:
+        LOG.warning("passed over %d clips in all", count)
+
+
+def take(store: Store, fresh: DataFrame, entries: DataFrame, on_gray: str) -> DataFrame:
+    """Take in described clips, at most one of each thread, with their entries; gives the review queue."""
     stored = store.read("documents").filter("merge_strategy = 'positional'").select(F.col("id").alias("document_id"), strip_source_suffix(F.col("source_title")).alias("merge_key"))
     old = stored.filter("merge_key <> ''").join(store.read("entries").select("document_id", "position", "author", "body"), "document_id")
-    growing = described.filter("merge_strategy = 'positional' AND merge_key <> ''").select("path", "merge_key")
+    growing = fresh.filter("merge_strategy = 'positional' AND merge_key <> ''").select("path", "merge_key")
     new = entries.join(growing, "path").select("merge_key", F.col("path").alias("new_doc"), "position", "author", "body")
     hits = durable(merge.overlaps(old, new).select(F.col("new_doc").alias("path"), "document_id"))
     merged = durable(merge.positional_merge(old, new))
     if merged.limit(1).count():
         facts = fresh.select(F.col("path").alias("new_doc"), "source_title", "clip_date", "clip_date_source", F.col("path").alias("file_path"))
-        rows = merged.join(facts, "new_doc").join(entries.select(F.col("path").alias("new_doc"), "body", "author", "timestamp", "heading_level", "heading_title", "is_quote").dropDuplicates(["new_doc", "body", "author"]), ["new_doc", "body", "author"], "left")
+        told_of = entries.select(F.col("path").alias("new_doc"), F.col("position").alias("new_position"), "timestamp", "heading_level", "heading_title", "is_quote")
+        rows = durable(merged.join(facts, "new_doc").join(told_of, ["new_doc", "new_position"]))
         add_children(store, rows)
         dates = rows.groupBy(F.col("document_id").alias("id")).agg(F.max(F.struct("clip_date", "clip_date_source")).alias("d"))
         store.update("documents", dates.select("id", "d.clip_date", "d.clip_date_source"))

@@ -12,20 +12,25 @@ HEADER = "# source:"
 STAMPS = ("yyyyMMdd_HH-mm-ss", "yyyyMMdd_HHmmss")
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text, or null where they aren't."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
 def read_clips(spark: SparkSession, folder: str) -> DataFrame:
-    """path and whole text of all .txt and .md files right in a folder."""
+    """path and whole text of all .txt and .md files right in a folder; null text where a file isn't UTF-8."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").load(folder)
-    return files.select("path", F.decode("content", "utf-8").alias("raw"))
+    return files.select("path", decoded(F.col("content")).alias("raw"))
 
 
 def walk_project(spark: SparkSession, root: str) -> DataFrame:
-    """relative_path, text and content_hash of all files below a root; names that begin with a dot are passed over."""
+    """relative_path, text and content_hash of all files below a root; names that begin with a dot and files that aren't UTF-8 are passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     inner = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
     clean = "/" + root.split("://")[-1].strip("/") + "/"
     rel = files.withColumn("relative_path", F.substr(inner, F.instr(inner, clean) + len(clean)))
     kept = rel.filter(~F.col("relative_path").rlike(r"(?:^|/)\."))
-    return kept.select("relative_path", F.decode("content", "utf-8").alias("text"), F.sha2("content", 256).alias("content_hash"))
+    return kept.select("relative_path", decoded(F.col("content")).alias("text"), F.sha2("content", 256).alias("content_hash")).filter("text IS NOT NULL")
 
 
 def source_header(raw: Column) -> Column:
@@ -72,7 +77,7 @@ def type_option(doctype: Column, option: str, types: tuple[DocType, ...] = BUILT
 
 
 def described(clips: DataFrame, types: tuple[DocType, ...] = BUILT_IN, now: str | None = None) -> DataFrame:
-    """Clips (path, raw) with source_title, text, clip_date, its source, doctype, parser and merge_strategy; skipped types go."""
+    """Clips (path, raw) with source_title, text, clip_date, its source, doctype, parser, merge_strategy and preprocessor; skipped types go."""
     at = clip_date(F.col("path"))
     fallback = F.lit(now).cast("timestamp_ntz") if now else F.current_timestamp().cast("timestamp_ntz")
     rows = clips.select(
@@ -89,6 +94,7 @@ def described(clips: DataFrame, types: tuple[DocType, ...] = BUILT_IN, now: str
     return kept.select(
         "path", normalize_to_ascii(F.col("title")).alias("source_title"), "text", "clip_date", "clip_date_source", "doctype_name",
         type_option(F.col("doctype_name"), "parser", types).alias("parser"), type_option(F.col("doctype_name"), "merge_strategy", types).alias("merge_strategy"),
+        type_option(F.col("doctype_name"), "preprocessor", types).cast("string").alias("preprocessor"),
     )
 
 

@@ -9,7 +9,7 @@ from pathlib import Path
 
 STATUSES = ("canonical", "provisional", "archived", "missing")
 STRATEGIES = ("none", "positional", "timestamped")
-PARSER_NAMES = ("whole", "markdown", "copilot_email", "whisper")
+PARSER_NAMES = ("whole", "markdown", "copilot_email", "chat", "email", "whisper")
 
 
 class ConfigError(ValueError):

@@ -1,4 +1,9 @@
-"""Tables as Parquet folders that are written anew and then swapped in."""
+"""Tables as Parquet folders behind a pointer.
+
+A pointer names the folders that make up the current version of a table. To
+append writes one more folder and a pointer that names it too; to change rows
+writes the table anew. The pointer is swapped last, so readers see one version.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..schema import KEYS, PARENTS, TABLES, conform, orphans, violations
 
+MOST_PARTS = 64
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``new`` rows replace ``old`` rows of their key; keys of ``new`` must be unique."""
@@ -44,28 +51,32 @@ class Store:
     def _pointer(self, table: str) -> str:
         return f"{self.folder}/{table}/current"
 
-    def _version(self, table: str) -> str | None:
+    def _parts(self, table: str) -> list[str]:
+        """Folders of the current version; none where nothing was written yet."""
         fs, place = self._fs(self._pointer(table))
         if not fs.exists(place):
-            return None
+            return []
         stream = fs.open(place)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode().split("\n")
         finally:
             stream.close()
 
     def exists(self, table: str) -> bool:
-        return self._version(table) is not None
+        return bool(self._parts(table))
 
     def read(self, table: str) -> DataFrame:
         """The current version; an empty table where nothing was written yet. Older files may lack newer columns."""
-        version = self._version(table)
-        if version is None:
+        parts = self._parts(table)
+        if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        return conform(self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{table}/{version}"), table)
+        return conform(self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.folder}/{table}/{p}" for p in parts]), table)
+
+    def write(self, table: str, df: DataFrame, check: bool = True, after: list[str] | None = None) -> None:
+        """Write a new version, then swap the pointer to it; the version before stays for open readers until ``vacuum``.
 
-    def write(self, table: str, df: DataFrame, check: bool = True) -> None:
-        """Write a new version, then swap the pointer to it; the version before stays for open readers until ``vacuum``."""
+        ``after``: folders that belong to the new version too.
+        """
         version = f"v-{uuid.uuid4().hex}"
         path = f"{self.folder}/{table}/{version}"
         conform(df, table).write.parquet(path)
@@ -75,7 +86,7 @@ class Store:
             raise ValueError(f"{table}: a value is outside its domain")
         fs, place = self._fs(self._pointer(table) + f".{version}")
         stream = fs.create(place, True)
-        stream.write(version.encode())
+        stream.write("\n".join([*(after or []), version]).encode())
         stream.close()
         target = self._fs(self._pointer(table))[1]
         if fs.exists(target):
@@ -87,7 +98,12 @@ class Store:
         self.write(table, upsert(self.read(table), conform(new, table), KEYS[table]))
 
     def append(self, table: str, new: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(conform(new, table)))
+        """Write the new rows alone; every ``MOST_PARTS`` times the table is written whole, so that it stays a few folders."""
+        parts = self._parts(table)
+        if len(parts) < MOST_PARTS:
+            self.write(table, new, after=parts)
+        else:
+            self.write(table, self.read(table).unionByName(conform(new, table)))
 
     def delete(self, table: str, gone: DataFrame, keys: list[str] | None = None) -> None:
         self.write(table, delete(self.read(table), gone, keys or KEYS[table]))
@@ -145,9 +161,9 @@ class Store:
 
     def vacuum(self, table: str) -> None:
         """Delete versions that are no longer current."""
-        version = self._version(table)
+        parts = self._parts(table)
         fs, place = self._fs(f"{self.folder}/{table}")
         for status in fs.listStatus(place):
             name = status.getPath().getName()
-            if name.startswith("v-") and name != version:
+            if name.startswith("v-") and name not in parts:
                 fs.delete(status.getPath(), True)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.clips import decoded
 from ..sources.store import Store
 
 CLIP = "path string, source_title string, text string, clip_date string, clip_date_source string, doctype_name string, parser string, merge_strategy string"
@@ -15,7 +16,7 @@ CLIP = "path string, source_title string, text string, clip_date string, clip_da
 def clip_stream(spark: SparkSession, folder: str, most_files: int = 1000) -> DataFrame:
     """path and raw text of .txt and .md files as they appear in a folder; each file once."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-    return files.option("pathGlobFilter", "*.{txt,md}").option("maxFilesPerTrigger", most_files).load(folder).select("path", F.decode("content", "utf-8").alias("raw"))
+    return files.option("pathGlobFilter", "*.{txt,md}").option("maxFilesPerTrigger", most_files).load(folder).select("path", decoded(F.col("content")).alias("raw"))
 
 
 def into_store(store: Store, ingest: Callable[[Store, DataFrame], None]) -> Callable[[DataFrame, int], None]:

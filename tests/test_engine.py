@@ -200,3 +200,71 @@ def test_author_filters(spark):
     assert [r[0] for r in df.filter(filters.author_like(F.col("author"), "nn_l")).collect()] == ["Ann_Lee", "AnnXLee"]
     assert [r[0] for r in df.filter(filters.author_contains(F.col("author"), "nn_l")).collect()] == ["Ann_Lee"]
     assert df.filter(filters.author_like(F.col("author"), "àb")).count() == 0 and df.filter(filters.author_contains(F.col("author"), "àb")).count() == 1
+
+
+def thread_clips():
+    """Overlapping captures of a chat, one with nothing new, with a message that is said twice; and another chat."""
+    chat = [(["Ann", "Bob", "Cy"][i % 3], "ok" if i % 5 == 4 else f"message {i} " + "words " * 12, f"1:{i:02d} PM") for i in range(20)]
+    write = lambda title, part: f"# source: {title}\n" + "\n".join(f"{a}  [{t}]\n{b}\n" for a, b, t in part)
+    parts = [("alpha", 0, 12), ("alpha", 6, 12), ("alpha", 7, 20), ("beta", 0, 5)]
+    return [(f"/in/2024010{j}_00-00-00.txt", write(f"{title} (Channel) - Slack", chat[a:b])) for j, (title, a, b) in enumerate(parts, 1)]
+
+
+def test_one_batch_equals_one_file_at_a_time(spark, tmp_path):
+    from dataclasses import replace
+
+    from clipmill.sources.config import BUILT_IN
+    from clipmill.sources.store import Store
+
+    rows = thread_clips()
+    types = tuple(replace(t, parser="chat") if t.name == "slack" else t for t in BUILT_IN)
+    batch = lambda part: spark.createDataFrame(part, "path string, raw string")
+    stores = [Store(spark, f"file://{tmp_path}/{n}") for n in "ab"]
+    ingest.ingest(stores[0], batch(rows), types)
+    for row in rows:
+        ingest.ingest(stores[1], batch([row]), types)
+    found = []
+    for store in stores:
+        names = store.read("documents").selectExpr("id AS document_id", "source_title AS doc_title", "clip_date AS doc_date")
+        told = store.read("entries").join(names, "document_id")
+        found.append(sorted((r.doc_title, r.position, r.author, r.body, r.file_path, r.doc_date) for r in told.collect()))
+        assert sorted(r.doc_title[:5] for r in names.collect()) == ["alpha", "beta "]
+    assert found[0] == found[1] and len(found[0]) == 25
+    assert [p for t, p, *_ in found[0] if t.startswith("alpha")] == list(range(20))
+
+
+def test_bad_files_are_passed_over_and_scripts_parse(spark, tmp_path, caplog):
+    from clipmill.sources import clips
+    from clipmill.sources.config import DocType, load_doctypes
+    from clipmill.sources.store import Store
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "20240101_000000.txt").write_bytes(b"# source: Notes\n\xff\xfe broken")
+    (tmp_path / "in" / "20240102_000000.txt").write_text("# source: Board log\nleft|hello there\nright|general answer")
+    (tmp_path / "in" / "20240103_000000.txt").write_text("# source: Board log two\nno bar here")
+    script = tmp_path / "bars.py"
+    script.write_text("import json, sys\nrows = [x.rstrip().split('|', 1) for x in open(sys.argv[1])]\nprint(json.dumps({'entries': [{'author': a, 'body': b} for a, b in rows] + [{'body': ' '}]}))\n")
+    config = tmp_path / "types.toml"
+    config.write_text(f'[[doctype]]\nname = "board"\nsource_pattern = "Board"\npreprocessor = "{script}"\n')
+    types = load_doctypes(str(config))
+    assert types == (DocType("board", "Board", preprocessor=str(script)),)
+    store = Store(spark, f"file://{tmp_path}/store")
+    with caplog.at_level("WARNING"):
+        ingest.ingest(store, clips.read_clips(spark, f"file://{tmp_path}/in"), types)
+    assert sorted((r.author, r.body) for r in store.read("entries").collect()) == [("left", "hello there"), ("right", "general answer")]
+    assert "20240101_000000.txt: not UTF-8" in caplog.text and "20240103_000000.txt" in caplog.text
+
+
+def test_appends_write_new_rows_alone(spark, tmp_path, monkeypatch):
+    from clipmill.sources import store as stores
+
+    monkeypatch.setattr(stores, "MOST_PARTS", 3)
+    store = stores.Store(spark, f"file://{tmp_path}/s")
+    rows = lambda n: spark.createDataFrame([(n, f"t{n}")], "document_id long, tag string")
+    sizes = []
+    for n in range(5):
+        store.append("document_tags", rows(n))
+        sizes.append(len(store._parts("document_tags")))
+    assert sizes == [1, 2, 3, 1, 2] and sorted(r.document_id for r in store.read("document_tags").collect()) == [0, 1, 2, 3, 4]
+    store.vacuum("document_tags")
+    assert store.read("document_tags").count() == 5

@@ -39,7 +39,7 @@ def test_email_chain():
     marked = "Subject\nLopez, Ana\n\n​\nKim​\nThe body"
     assert brief(P.email_chain(marked), "author", "body") == [("Lopez, Ana", "The body")]
     assert P.email_chain("A\nkeep\nDrop me", frozenset({"drop me"}))[0]["body"] == "keep"
-    assert P.mail_author("'Ann' via List <l@x>") == "Ann"
+    assert P.display_name("'Ann' via List <l@x>") == "Ann"
 
 
 def test_segment_and_transcript(spark):
