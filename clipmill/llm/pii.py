@@ -1,9 +1,10 @@
 """Personal data by regular expressions, checksum validators and context words.
 
 A regular expression proposes spans of each kind, leftmost and non-overlapping;
-a validator (number ranges, digit counts, Luhn, mod-97) drops failing ones
-without a retry; words just before a span raise its score. Kinds of ``BASE``
-always stay. Kinds of ``ADDED`` stay from a score of ``threshold`` on.
+a validator (number ranges, digit counts, Luhn, mod-97, entropy) drops failing
+ones without a retry; words within ``CONTEXT`` code points on either side of a span
+raise its score, others lower it. Kinds of ``BASE`` always stay. Kinds of ``ADDED``
+stay from a score of ``threshold`` on. Scores are returned.
 
 Everything is a column expression: splitting a text at the pattern gives the
 pieces between matches, so running lengths give positions in code points. The
@@ -20,6 +21,7 @@ from .common import let
 
 CONTEXT = 40
 BLOCK = 256
+PAGE = 1024
 SPAN = "struct<kind:string,start:bigint,end:bigint,value:string,score:double>"
 
 # Patterns, scores and context words of each kind.
@@ -32,11 +34,14 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9+)-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9])",
+    "login": r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{1,20}://[^/\s:@?#]++:[^/\s:@?#]++@",
 }
-GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-", "tel": None}
+GUARDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-", "tel": None, "login": "://"}
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn", "tel")
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "tel": 0.4}
+ADDED = ("iban", "ssn", "tel", "secret", "key", "login")
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4, "tel": 0.4, "secret": 0.4, "key": 0.95, "login": 0.95}
 WORDS = {
     "email": "mail|contact|write",
     "ip": "ip|address|host|server",
@@ -45,8 +50,23 @@ WORDS = {
     "iban": "iban|bank|account|konto|compte",
     "ssn": "ssn|social security",
     "tel": "phone|tel|call|mobile|fax|telefon",
+    "secret": "token|secret|passw|passphrase|key|auth|bearer|credential",
+    "key": "key|token|secret",
+    "login": "url|host|connect|login",
 }
-CONTEXT_BONUS, THRESHOLD = 0.3, 0.65
+AGAINST = {
+    "email": "example only",
+    "ip": "version|release|build|section|chapter",
+    "card": "order|tracking|isbn|serial",
+    "phone": "order|serial|part",
+    "iban": "serial|part",
+    "ssn": "order|serial|part|isbn",
+    "tel": "order|serial|part|isbn",
+    "secret": "sha-?[0-9]+|md5|checksum|digest|commit|revision",
+    "key": "example only",
+    "login": "example only",
+}
+CONTEXT_BONUS, CONTEXT_MALUS, THRESHOLD, ENTROPY = 0.3, 0.3, 0.65, 3.0
 
 
 def digits(value: Column) -> Column:
@@ -80,6 +100,17 @@ def octets(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "").rlike("^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
 
+def entropy(value: Column) -> Column:
+    """Bits per character."""
+    n = F.length(value)
+
+    def part(c: Column) -> Column:
+        p = (n - F.length(F.replace(value, c, F.lit("")))) / n
+        return -p * F.log2(p)
+
+    return F.aggregate(F.transform(F.array_distinct(F.split(value, "")), lambda c: F.when(c == "", 0.0).otherwise(part(c))), F.lit(0.0), lambda a, x: a + x)
+
+
 VALID = {
     "email": lambda v: F.lit(True),
     "ip": octets,
@@ -88,6 +119,9 @@ VALID = {
     "iban": lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))).between(15, 34) & mod97(v),
     "ssn": lambda v: ~v.rlike("^(?:000|666|9)|-00-|-0000$"),
     "tel": lambda v: F.lit(True),
+    "secret": lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (entropy(v) >= ENTROPY),
+    "key": lambda v: F.lit(True),
+    "login": lambda v: F.lit(True),
 }
 
 
@@ -114,23 +148,40 @@ def spans_of(text: Column, kind: str, threshold: float) -> Column:
     pattern = PATTERNS[kind]
 
     def located(both: Column) -> Column:
+        """Valid matches with their places; context is read from pages of the text, so a span costs the same in a long text."""
+        return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)), lambda pages: F.transform(valid(both), lambda r: placed(r, pages)))
+
+    def valid(both: Column) -> Column:
         matches = both["matches"]
         pieces = F.slice(both["pieces"], F.lit(1), F.size(matches))
         lengths = F.zip_with(pieces, matches, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
         rows = let(lengths, lambda n: F.arrays_zip(pieces.alias("piece"), matches.alias("value"), before_each(n).alias("prior")))
-        return F.transform(F.filter(rows, lambda r: VALID[kind](r["value"])), placed)
+        return F.filter(rows, lambda r: VALID[kind](r["value"]))
+
+    def stretch(pages: Column, begin: Column, end: Column) -> Column:
+        first = F.floor(begin / PAGE).cast("int")
+        two = F.concat(F.coalesce(F.get(pages, first), F.lit("")), F.coalesce(F.get(pages, first + 1), F.lit("")))
+        return F.substr(two, (begin - first * PAGE + 1).cast("int"), (end - begin).cast("int"))
 
-    def placed(r: Column) -> Column:
+    def placed(r: Column, pages: Column) -> Column:
         start = r["prior"] + F.length(r["piece"])
-        told = F.lower(F.right(r["piece"], F.lit(CONTEXT))).rlike(rf"\b(?:{WORDS[kind]})")
-        score = F.lit(SCORES[kind]) + F.when(told, CONTEXT_BONUS).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(r["value"])).alias("end"), r["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
+        end = start + F.length(r["value"])
+        around = F.lower(F.concat(stretch(pages, F.greatest(start - CONTEXT, F.lit(0)), start), F.lit(" "), stretch(pages, end, end + CONTEXT)))
+        for_it = F.when(around.rlike(rf"(?:\b|_)(?:{WORDS[kind]})"), CONTEXT_BONUS).otherwise(0.0)
+        against = F.when(around.rlike(rf"(?:\b|_)(?:{AGAINST[kind]})"), CONTEXT_MALUS).otherwise(0.0)
+        score = F.round(F.greatest(F.least(F.lit(SCORES[kind]) + for_it - against, F.lit(1.0)), F.lit(0.0)), 2)
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), r["value"].alias("value"), score.alias("score"))
 
     both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
     found = let(both, lambda b: F.when(F.size(b["matches"]) == 0, empty).otherwise(located(b).cast(f"array<{SPAN}>")))
     if kind in ADDED:
         found = F.filter(found, lambda s: s["score"] >= threshold)
-    guard = F.contains(text, F.lit(GUARDS[kind])) if GUARDS[kind] else text.rlike("[0-9]{3}|[0-9][ -][0-9]")
+    if kind == "secret":  # without a word for it no secret reaches a threshold above its own score
+        guard = F.lower(text).rlike(WORDS[kind]) if threshold > SCORES[kind] else F.lit(True)
+    elif kind == "key":
+        guard = text.rlike("AKIA|gh[pousr]_|xox|eyJ|-----BEGIN")
+    else:
+        guard = F.contains(text, F.lit(GUARDS[kind])) if GUARDS[kind] else text.rlike("[0-9]{3}|[0-9][ -][0-9]")
     return F.when(guard, found).otherwise(empty)
 
 
@@ -166,7 +217,7 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, counts of base kinds, base_sha256 and spans."""
+    """doc_id, counts of base kinds, base_sha256, spans, and their scores in the same order."""
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
@@ -174,4 +225,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     counts = [count(k).alias(f"n_{k}") for k in BASE]
-    return found.select(F.col(f"row.{id_col}").alias("doc_id"), *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return found.select(F.col(f"row.{id_col}").alias("doc_id"), *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"))

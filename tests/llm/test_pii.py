@@ -50,3 +50,32 @@ def test_redaction_and_empty_table(spark):
     out = {r[0]: r[1] for r in pii.redact(pii.find_pii(df)).selectExpr("row.doc_id", "redacted").collect()}
     assert out == {1: "to [EMAIL] or [PHONE]!", 2: ""}
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def kinds(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id: [(s.kind, t[s.start : s.end], s.score) for s in r.spans] for r in pii.find_pii(df).selectExpr("row.doc_id", "spans").collect() for t in [texts[r.doc_id]]}
+
+
+def test_secrets_by_entropy_and_words(spark):
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    got = kinds(spark, [f'é token = "{token}" x', f"{token} alone", f"commit {token} of the key", "token " + "ab1" * 14, "a secret: " + "Donaudampfschifffahrtsgesellschaft",
+                        "postgres://ann:pw123@db/x", "AKIA" + "ABCD1234EFGH5678", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18, f"{token} <- api_key"])
+    assert got[0] == [("secret", token, 0.7)] and got[9] == [("secret", token, 0.7)]
+    assert got[1] == got[2] == got[3] == got[4] == []
+    assert [[s[0] for s in got[i]] for i in (5, 6, 7, 8)] == [["login"], ["key"], ["key"], ["key"]]
+
+
+def test_words_on_both_sides_and_past_other_matches(spark):
+    got = kinds(spark, ["Phones: 212-555-0100, 212-555-0101", "212-555-0100 (phone)", "212-555-0100", "serial 212-555-0100 call", "x" * 5000 + " 212-555-0100 " + "y " * 15 + "tel", "host 10.0.0.1", "version 10.0.0.1"])
+    assert [len(got[i]) for i in range(5)] == [2, 1, 0, 0, 1]
+    assert [got[i][0][2] for i in (5, 6)] == [0.9, 0.3]  # a base kind stays, whatever its score
+
+
+def test_planted_secrets_of_the_sample_table(spark):
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = {r.doc_id for r in docs.collect() if re.search(r'(?i)token = "[0-9a-f]{40}"', r.text or "")}
+    found = {r.doc_id for r in pii.find_pii(docs).filter("exists(spans, s -> s.kind = 'secret')").select("row.doc_id").collect()}
+    assert planted and planted <= found and len(found - planted) <= 1
