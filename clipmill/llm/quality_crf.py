@@ -1,9 +1,15 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is labelled good or bad. Its features are shares and counts of its
-characters and words, and those of the lines before and after it. Training lines
-take the label of their document. The marginals of forward-backward, weighted by
-the lengths of the lines, are the document's quality.
+characters and words, and those of the lines before and after it. The marginals of
+forward-backward, weighted by the lengths of the lines, are the document's quality.
+
+Labels are of documents, so line labels are latent: a document's label says that
+most of its length is good (or bad), not which lines are. After a start from the
+document's label, expectation steps find, for each document, the distribution over
+line labels that is closest to the chain's own among those whose length-weighted
+share of good lines keeps that bound (posterior regularisation: one multiplier on
+the lines' lengths), and maximisation steps fit the chain to it.
 
 Fitting is on the driver, on at most ``max_docs`` labelled documents and
 ``max_lines`` neighbouring lines of each, chosen by a hash of the id: a bounded
@@ -22,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CUTOFF = 0.3
+#: Least share of a good document's length that is good, and most of a bad one's.
+SHARE_GOOD, SHARE_BAD = 0.8, 0.2
 CHUNK = 1 << 20
 SPACE, UPPER, LETTER, DIGIT, MARK, STOP, TAIL = (1 << i for i in range(7))
 N_FEATURES = 14
@@ -153,10 +161,9 @@ class LineCrf:
         good = with_neighbours((x - self.mean) / self.scale, counts).astype(np.float64) @ self.weight
         return np.stack([np.zeros_like(good), good], 1)
 
-    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
-        """Quality of each text from 0 to 1; a text without words has 0."""
-        texts = list(texts)
-        out, at = [np.zeros(0)], 0
+    def chunks(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(how likely each line is good, its weight, lines of each text) for runs of texts; lines without words weigh nothing."""
+        texts, at = list(texts), 0
         while at < len(texts):
             to, size = at + 1, len(texts[at] or "")
             while to < len(texts) and size + len(texts[to] or "") < CHUNK:
@@ -164,27 +171,65 @@ class LineCrf:
                 to += 1
             x, counts, chars = line_features([(t or "").encode("utf-8", "surrogatepass") for t in texts[at:to]])
             marginal, _, _ = forward_backward(self.emissions(x, counts), counts, self.move)
-            starts = np.cumsum(counts) - counts
-            weight = np.where(x[:, 11] > 0, 0.0, chars.astype(float))
-            total = np.add.reduceat(weight, starts)
-            out.append(np.add.reduceat(weight * marginal[:, 1], starts) / np.maximum(total, 1e-9))
+            yield marginal[:, 1], weights(x, chars), counts
             at = to
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Quality of each text from 0 to 1; a text without words has 0."""
+        out = [np.zeros(0)]
+        for good, weight, counts in self.chunks(texts):
+            starts = np.cumsum(counts) - counts
+            out.append(np.add.reduceat(weight * good, starts) / np.maximum(np.add.reduceat(weight, starts), 1e-9))
         return np.round(np.clip(np.concatenate(out), 0.0, 1.0), 9)  # alike however texts are batched
 
 
-def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, turns: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> LineCrf:
-    """Maximum conditional likelihood by Adam on all chains at once; the same input gives the same weights."""
+def weights(x: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    return np.where(x[:, 11] > 0, 0.0, chars.astype(float))
+
+
+def within_share(emit: np.ndarray, counts: np.ndarray, move: np.ndarray, weight: np.ndarray, labels: np.ndarray, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and expected moves of the closest distribution that keeps each document's share of good lines in its bound."""
+    starts = np.cumsum(counts) - counts
+    share = np.repeat(np.maximum(np.add.reduceat(weight, starts), 1e-9), counts)
+    pull = weight / share * np.repeat(counts, counts)  # one on average
+    sign = np.where(labels > 0, 1.0, -1.0)
+    low, high = np.zeros(len(counts)), np.full(len(counts), 16.0)
+
+    def at(multiplier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        shifted = emit.copy()
+        shifted[:, 1] += np.repeat(sign * multiplier, counts) * pull
+        marginal, pair, _ = forward_backward(shifted, counts, move)
+        return marginal, pair, np.add.reduceat(weight / share * marginal[:, 1], starts)
+
+    kept = lambda good: np.where(labels > 0, good >= SHARE_GOOD, good <= SHARE_BAD)
+    high[kept(at(low)[2])] = 0.0
+    for _ in range(steps):
+        middle = (low + high) / 2
+        ok = kept(at(middle)[2])
+        low, high = np.where(ok, low, middle), np.where(ok, middle, high)
+    marginal, pair, _ = at(high)
+    return marginal, pair
+
+
+def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, chars: np.ndarray | None = None, turns: int = 150, rounds: int = 3, rate: float = 0.1, ridge: float = 1e-3) -> LineCrf:
+    """Adam on all chains at once, first on document labels, then on latent line labels; the same input gives the same weights."""
     if not len(labels):
         return LineCrf(np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32), np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2)))
     mean, scale = x.mean(0), x.std(0) + 1e-3
     full = with_neighbours((x - mean) / scale, counts).astype(np.float64)
+    weight = weights(x, np.expm1(x[:, 0]) if chars is None else chars)  # the first feature is the log length
     y = np.repeat(labels.astype(float), counts)
     theta = np.zeros(full.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     told = np.zeros((2, 2))
     for k in (0, 1):
         told[k, k] = (counts[labels == k] - 1).sum()
+    latent = [turns * (k + 1) // (rounds + 1) for k in range(rounds)]
     for turn in range(1, turns + 1):
+        if turn in latent:
+            good = full @ theta[:-4]
+            closest, told = within_share(np.stack([np.zeros_like(good), good], 1), counts, theta[-4:].reshape(2, 2), weight, labels)
+            y = closest[:, 1]
         good = full @ theta[:-4]
         marginal, pair, _ = forward_backward(np.stack([np.zeros_like(good), good], 1), counts, theta[-4:].reshape(2, 2))
         slope = np.concatenate([full.T @ (marginal[:, 1] - y), (pair - told).ravel()]) / len(y) + ridge * theta
@@ -198,11 +243,12 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 3000, max_lines: int = 500) -> LineCrf:
-    """Fit on labelled rows that aren't held out. Rows without id or label are passed over; of repeated labels the larger counts."""
+    """Fit on labelled rows that aren't held out. Rows without id or label are passed over; of repeated labels the larger counts, of texts that share an id the smallest."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().filter(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    texts = found.groupBy("id", "label").agg(F.min("text").alias("text"))  # a row per id, however often it repeats
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -227,3 +273,19 @@ def score(df: DataFrame, model: LineCrf, text_col: str = "text") -> DataFrame:
         return pd.Series(model.scores(texts))
 
     return df.select(F.struct("*").alias("row"), scores(F.col(text_col)).alias("score"))
+
+
+def label_lines(df: DataFrame, model: LineCrf, text_col: str = "text") -> DataFrame:
+    """All rows as struct ``row`` with ``lines``: per line of the text (split at line feeds) how likely it is good.
+
+    A null text counts as empty and has one line; repeated rows are each labelled.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def lines(texts: pd.Series) -> pd.Series:
+        out = []
+        for good, _, counts in model.chunks(texts):
+            out += np.split(np.round(good, 9), np.cumsum(counts)[:-1])
+        return pd.Series(out)
+
+    return df.select(F.struct("*").alias("row"), lines(F.col(text_col)).alias("lines"))

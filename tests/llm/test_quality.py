@@ -60,3 +60,41 @@ def test_edges(spark):
         assert all(0 <= r.score <= 1 for r in rows) and all(r.score == 0 for r in rows if not (r.text or "").strip())
         assert len({r.score for r in rows if r.doc_id == 4}) == 1
     assert q.score(docs.limit(0), model).count() == 0
+
+
+def test_expectation_keeps_the_share_and_the_chain():
+    rng = np.random.default_rng(2)
+    counts, labels = np.array([4, 6, 1, 5]), np.array([1, 0, 0, 1])
+    emit, move = rng.normal(size=(16, 2)), rng.normal(size=(2, 2))
+    weight = rng.integers(1, 50, 16).astype(float)
+    marginal, pair = q.within_share(emit, counts, move, weight, labels)
+    starts = np.cumsum(counts) - counts
+    share = np.add.reduceat(weight * marginal[:, 1], starts) / np.add.reduceat(weight, starts)
+    assert (share[labels == 1] >= q.SHARE_GOOD - 1e-6).all() and (share[labels == 0] <= q.SHARE_BAD + 1e-6).all()
+    assert np.isclose(pair.sum(), (counts - 1).sum())
+    free, _, _ = q.forward_backward(emit, counts, move)
+    easy = q.within_share(np.stack([np.zeros(16), np.repeat(np.where(labels > 0, 20.0, -20.0), counts)], 1), counts, move, weight, labels)[0]
+    assert not np.allclose(marginal, free) and np.allclose(easy[:, 1], np.repeat(labels, counts), atol=1e-3)  # a bound that holds changes nothing
+
+
+def test_lines_of_a_half_junk_document(spark):
+    """Held-out clean and junk lines put together: the lines get their own labels, the document a score between."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = q.train(docs, labels)
+    known = docs.join(labels, "doc_id").filter(q.held_out(F.col("doc_id"))).select("text", "quality").collect()
+    lines = {k: sorted({x for r in known if r.quality == k for x in r.text.split("\n") if len(x) > 80})[:400] for k in (0, 1)}
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(40):
+        halves = [[str(x) for x in rng.choice(lines[k], 6, replace=False)] for k in (1, 0)]
+        rows.append((i, "\n".join(halves[0] + halves[1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = np.array([r.lines for r in q.label_lines(df, model).orderBy("row.doc_id").collect()])
+    assert told.shape == (40, 12)
+    assert ((told[:, :6] > 0.5).mean() + (told[:, 6:] < 0.5).mean()) / 2 > 0.85
+    scores = [r.score for r in q.score(df, model).collect()]
+    assert 0.25 < np.mean(scores) < 0.75
+    assert np.linalg.norm(model.move) > 0
+    empty = q.label_lines(spark.createDataFrame([(1, None), (2, "a\n\nb")], "doc_id long, text string"), model).collect()
+    assert [len(r.lines) for r in empty] == [1, 3]
