@@ -10,15 +10,21 @@ import hashlib
 import io
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WIDTH = 64
 UNIT = 3 * WIDTH
+BAND = 4096
+SLICE = 256  # rows that leave a task at a time
+TILE = pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32()), ("npy", pa.binary()), ("dhash", pa.string())]))
+TILE_TYPE = "array<struct<row:int,col:int,npy:binary,dhash:string>>"
 FACTS = T.StructType(
     [
         T.StructField(name, kind)
@@ -28,7 +34,7 @@ FACTS = T.StructType(
         )
     ]
 )
-TILE_ROWS = "height int, width int, channels int, error string, dhash string, tiles array<struct<row:int,col:int,npy:binary,dhash:string>>"
+TILE_ROWS = "height int, width int, channels int, error string, dhash string, tiles " + TILE_TYPE
 
 
 class BadMedia(ValueError):
@@ -129,11 +135,13 @@ def decode(data: bytes | None) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over the (fractional) area that each target pixel covers, from an integral image."""
-    planes = image.reshape(*image.shape[:2], -1).astype(np.float64)
+    """Means over the (fractional) area that each target pixel covers, from an integral image.
+
+    The image is summed in bands of rows and only the rows of sums that the target
+    needs are kept, so memory doesn't grow with the height of the image.
+    """
+    planes = image.reshape(*image.shape[:2], -1)
     h, w = planes.shape[:2]
-    sums = np.zeros((h + 1, w + 1, planes.shape[2]))
-    sums[1:, 1:] = planes.cumsum(0).cumsum(1)
 
     def edges(size: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.linspace(0, size, parts + 1)
@@ -142,6 +150,16 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
     y, fy = edges(h, height)
     x, fx = edges(w, width)
+    wanted = np.unique(np.concatenate([y, y + 1]))
+    sums = np.zeros((len(wanted), w + 1, planes.shape[2]))
+    carry = np.zeros((w, planes.shape[2]))
+    for start in range(0, h, BAND):
+        band = planes[start : start + BAND].astype(np.float64).cumsum(0) + carry
+        here = np.flatnonzero((wanted > start) & (wanted <= start + len(band)))
+        sums[here, 1:] = band[wanted[here] - start - 1]
+        carry = band[-1]
+    sums = sums.cumsum(1)
+    y = np.searchsorted(wanted, y)
     rows = sums[y] * (1 - fy)[:, None, None] + sums[y + 1] * fy[:, None, None]
     grid = rows[:, x] * (1 - fx)[None, :, None] + rows[:, x + 1] * fx[None, :, None]
     total = grid[1:, 1:] - grid[:-1, 1:] - grid[1:, :-1] + grid[:-1, :-1]
@@ -154,7 +172,7 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 def dhash(image: np.ndarray) -> str:
     """64 bits as hex: whether brightness rises to the right in an 8 x 9 reduction."""
-    small = np.round(area_resize(grey(image), 8, 9), 6)
+    small = np.round(grey(area_resize(image, 8, 9)), 6)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
@@ -204,23 +222,36 @@ def as_ppm(text: Column) -> tuple[Column, Column]:
     return F.length(raw).cast("long"), F.concat(head, F.rpad(raw, rows * UNIT, F.lit(b"\x20")))
 
 
-@F.pandas_udf(FACTS)
-def facts(media: pd.Series) -> pd.DataFrame:
-    """What is read back from stored pictures."""
-    rows = []
-    for value in media:
-        value = bytes(value)
-        image = decode(value)
-        payload = image.tobytes()
-        small = np.clip(np.round(area_resize(image, 64, 64)), 0, 255).astype(np.uint8)
-        cut = tiles(small, 32)
-        joined = hashlib.sha256(b"".join(t[2] for t in cut)).hexdigest()
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(value), hashlib.sha256(value).hexdigest(), dhash(image), len(cut), joined))
-    return pd.DataFrame(rows, columns=FACTS.names)
+def facts(value: bytes) -> tuple:
+    """What is read back from a stored picture: ``FACTS`` and its tiles."""
+    image = decode(value)
+    payload = image.tobytes()
+    small = np.clip(np.round(area_resize(image, 64, 64)), 0, 255).astype(np.uint8)
+    cut = tiles(small, 32)
+    joined = hashlib.sha256(b"".join(t[2] for t in cut)).hexdigest()
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(value), hashlib.sha256(value).hexdigest(), dhash(image), len(cut), joined, [dict(zip(("row", "col", "npy", "dhash"), t, strict=True)) for t in cut]
+
+
+ARROW_FACTS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), TILE)
+
+
+def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, n_bytes, media) as doc_id, n_bytes and the facts; tiles are large, so few rows leave at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            told = list(zip(*[facts(v.as_py()) for v in part.column("media")], strict=True))
+            columns = [pa.array(list(c), t) for c, t in zip(told, ARROW_FACTS, strict=True)]
+            yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *FACTS.names, "tiles"])
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the facts of the picture that holds each whole text; a null text is an empty one."""
+    """doc_id, n_bytes, the facts of the picture that holds each whole text, and its NPY tiles.
+
+    A null text is an empty one; rows that repeat have equal values; an empty table gives no rows.
+    """
     size, media = as_ppm(F.col(text_col))
     stored = df.select(F.col(id_col).alias("doc_id"), size.alias("n_bytes"), media.alias("media"))
-    return stored.select("doc_id", "n_bytes", facts("media").alias("f")).select("doc_id", "n_bytes", "f.*")
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    named = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in FACTS.fields)
+    return stored.mapInArrow(read_back, f"doc_id {kind}, n_bytes long, {named}, tiles {TILE_TYPE}")

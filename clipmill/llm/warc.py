@@ -38,16 +38,19 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, first: int | None) -> bytes:
-    """One record; ``payload`` None makes it a revisit of page ``first``."""
+def target_uri(page_id: int | None, url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{'none' if page_id is None else page_id}")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, first: int | None, first_url: str | None = None) -> bytes:
+    """One record; ``payload`` None makes it a revisit of page ``first``, whose address is ``first_url``. Each record has an id of its own."""
     name = "none" if page_id is None else str(page_id)
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or f"urn:page:{name}")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload or b"")
     fields = {
         "WARC-Type": "response" if payload is not None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {target}')}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
         "WARC-Date": DATE,
-        "WARC-Target-URI": target,
+        "WARC-Target-URI": target_uri(page_id, url),
         "WARC-Payload-Digest": f"sha1:{digest}",
         "WARC-Block-Digest": f"sha1:{base32_sha1(block)}",
         "Content-Type": "application/http; msgtype=response",
@@ -56,7 +59,7 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     if page_id is not None:
         fields["X-Page-Id"] = name
     if payload is None:
-        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": f"urn:page:{first}", "X-Refers-To-Page-Id": str(first)}
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": target_uri(first, first_url), "WARC-Refers-To-Date": DATE, "X-Refers-To-Page-Id": str(first)}
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
     return head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
@@ -224,7 +227,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_archives(records: DataFrame, path: str, roll: int = ROLL) -> DataFrame:
-    """Write (page_id, url, payload, payload_bytes, first) as archives below ``path``; gives the manifest (file, records, bytes)."""
+    """Write (page_id, url, payload, payload_bytes, digest, first, first_url) as archives below ``path``; gives the manifest (file, records, bytes)."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -245,9 +248,9 @@ def write_archives(records: DataFrame, path: str, roll: int = ROLL) -> DataFrame
             parts, size = [], 0
 
         for frame in frames:
-            for page_id, url, payload, n, digest, first in zip(*(frame[c] for c in ("page_id", "url", "payload", "payload_bytes", "digest", "first")), strict=True):
+            for page_id, url, payload, n, digest, first, first_url in zip(*(frame[c] for c in ("page_id", "url", "payload", "payload_bytes", "digest", "first", "first_url")), strict=True):
                 whole = lambda v: None if pd.isna(v) else int(v)
-                member = gzip.compress(record(whole(page_id), url, None if payload is None else bytes(payload), int(n), base64.b32encode(bytes.fromhex(digest)).decode(), whole(first)), 6, mtime=0)
+                member = gzip.compress(record(whole(page_id), url, None if payload is None else bytes(payload), int(n), base64.b32encode(bytes.fromhex(digest)).decode(), whole(first), first_url), 6, mtime=0)
                 parts.append(member)
                 size += len(member)
                 if size >= roll:
@@ -268,15 +271,16 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
     narrow = cut(rows.select("page_id", "url", "sha", F.sha1("payload").alias("digest"), F.length("payload").cast("long").alias("payload_bytes")))
     shared = narrow.filter(F.col("payload_bytes") >= least)
-    firsts = cut(shared.groupBy("sha").agg(F.min("page_id").alias("first")))
+    least_page = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    firsts = cut(shared.groupBy("sha").agg(least_page.alias("f")).select("sha", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url")))
     marked = narrow.join(firsts, "sha", "left").withColumn("first", F.when(F.col("payload_bytes") >= least, F.col("first")).otherwise(F.col("page_id")))
-    revisits = marked.filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "payload_bytes", "digest", "first")
-    own = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("first", F.lit(None).cast("long"))
+    revisits = marked.filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "payload_bytes", "digest", "first", "first_url")
+    own = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("first", F.lit(None).cast("long")).withColumn("first_url", F.lit(None).cast("string"))
     keys = firsts.select(F.col("first").alias("page_id"), "sha")
     responses = own.filter(F.col("payload_bytes") >= least).join(keys.filter("page_id IS NOT NULL"), ["page_id", "sha"], "left_semi")
     nameless = own.filter("page_id IS NULL").filter(F.col("payload_bytes") >= least).join(keys.filter("page_id IS NULL").select("sha"), "sha", "left_semi")
     small = own.filter(F.col("payload_bytes") < least)
-    columns = ["page_id", "url", "payload", "payload_bytes", "digest", "first"]
+    columns = ["page_id", "url", "payload", "payload_bytes", "digest", "first", "first_url"]
     return responses.select(columns).unionByName(nameless.select(columns)).unionByName(small.select(columns)).unionByName(revisits.select(columns))
 
 
@@ -285,22 +289,41 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Incomplete(Exception):
+    """Archives that don't give back every record that was written."""
+
+
+def checked(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The records of ``found`` that lie in files of ``manifest``.
+
+    Raises ``Incomplete``, with the first of the quarantined gaps, if a file of the
+    manifest gives other than its number of records or has a gap.
+    """
+    named = cut(found.withColumn("file", F.substring_index("path", "/", -1)).join(manifest.select("file"), "file", "left_semi"))
+    seen = named.groupBy("file").agg(F.count_if(F.col("kind") == "record").alias("n"), F.count_if(F.col("kind") != "record").alias("gaps"))
+    wrong = manifest.join(seen, "file", "left").filter("records <> coalesce(n, 0) OR gaps > 0").limit(5).collect()
+    if wrong:
+        gaps = named.filter("kind <> 'record'").select("file", "offset", "length", "reason").limit(5).collect()
+        raise Incomplete(f"files {[(r.file, r.records, r.n) for r in wrong]}, gaps {[tuple(r) for r in gaps]}")
+    return named.filter("kind = 'record'")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages as archives, read them back by the salvage reader, and give the record table.
 
     A null html is an empty payload; rows that repeat id and html are responses (or
     revisits) alike; a null id is a revisit where its payload has an id elsewhere.
+    Records that can't be read back are an error, never a shorter table.
     """
     spark = pages.sparkSession
     path = work_dir(spark, "warc")
-    manifest = write_archives(to_records(pages), path)
-    if not manifest.filter("records > 0").limit(1).count():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    found = read_archives(spark, f"{path}/*.warc.gz").filter("kind = 'record'").withColumn("file", F.substring_index("path", "/", -1))
-    kept = found.join(manifest.select("file"), "file", "left_semi").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    kept = cut(kept)
-    remove(spark, path)
-    return kept
+    try:
+        manifest = write_archives(to_records(pages), path)
+        if not manifest.filter("records > 0").limit(1).count():
+            return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        return checked(read_archives(spark, f"{path}/*.warc.gz").drop("payload"), manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    finally:
+        remove(spark, path)
 
 
 ORACLE = r"""

@@ -76,3 +76,20 @@ def test_texts_match_brute_force(spark):
         assert (r.payload_sha256, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(stored).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-16:]) and len(r.feature) == 16
     assert media.text_media(df.limit(0)).count() == 0
+
+
+def test_tiles_of_texts_are_kept(spark):
+    texts = ["", "héllo " * 700, "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.text_media(df).collect():
+        arrays = [np.load(io.BytesIO(t.npy)) for t in r.tiles]
+        assert [(t.row, t.col) for t in r.tiles] == [(0, 0), (0, 1), (1, 0), (1, 1)] and all(a.shape == (32, 32, 3) for a in arrays)
+        assert [media.dhash(a) for a in arrays] == [t.dhash for t in r.tiles]
+        assert r.n_tiles == 4 and r.tiles_sha256 == hashlib.sha256(b"".join(t.npy for t in r.tiles)).hexdigest()
+
+
+def test_bands_change_nothing(monkeypatch):
+    x = image(700, 9, 3)
+    whole = [media.area_resize(x, 64, 64), media.area_resize(x, 3, 5), media.area_resize(x, 900, 20)]
+    monkeypatch.setattr(media, "BAND", 64)
+    assert all((a == b).all() for a, b in zip(whole, [media.area_resize(x, 64, 64), media.area_resize(x, 3, 5), media.area_resize(x, 900, 20)], strict=True))

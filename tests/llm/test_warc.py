@@ -1,3 +1,4 @@
+import pytest
 import base64
 import gzip
 import hashlib
@@ -97,3 +98,38 @@ def test_lost_attempts_leave_no_rows(spark):
     assert manifest.selectExpr("sum(records)").first()[0] == 1
     assert warc.read_archives(spark, f"{path}/*.warc.gz").count() == 1
     warc.remove(spark, path)
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_lost_records_are_an_error(spark, tmp_path):
+    """A byte turned in an archive: its record goes to quarantine, the others come back, the round trip refuses."""
+    df = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 30) for i in range(20)], PAGES)
+    path = f"file://{tmp_path}/w"
+    manifest = warc.write_archives(warc.to_records(df.coalesce(1)), path)
+    found = warc.read_archives(spark, f"{path}/*.warc.gz")
+    assert warc.checked(found, manifest).count() == 20
+    name = next((tmp_path / "w").glob("*.gz"))
+    data = bytearray(name.read_bytes())
+    data[len(data) // 2] ^= 0xFF
+    name.write_bytes(bytes(data))
+    assert found.filter("kind = 'record'").count() == 19 and found.filter("kind <> 'record'").count() >= 1
+    with pytest.raises(warc.Incomplete, match="gaps"):
+        warc.checked(found, manifest)
+
+
+def test_revisits_name_the_address_of_their_response(spark, tmp_path):
+    rows = [(3, "http://h/three", "same"), (1, "http://h/o ne", "same"), (1, "http://h/o ne", "same"), (2, None, "same")]
+    manifest = warc.write_archives(warc.to_records(spark.createDataFrame(rows, PAGES)), f"file://{tmp_path}/w")
+    assert manifest.selectExpr("sum(records)").first()[0] == 4
+    heads = [gzip.decompress(b"\x1f\x8b\x08" + m).decode() for f in (tmp_path / "w").glob("*.gz") for m in f.read_bytes().split(b"\x1f\x8b\x08")[1:]]
+    told = [h for h in heads if "WARC-Type: revisit" in h]
+    assert len(told) == 2 and all("WARC-Refers-To-Target-URI: http://h/o%20ne\r\n" in h and "WARC-Refers-To-Date: " in h for h in told)
+    assert len({line for h in heads for line in h.split("\r\n") if line.startswith("WARC-Record-ID")}) == 4
+
+
+def test_long_payload(spark):
+    rows = [(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000), (3, "u", "")]
+    found = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {1: (6_000_000, "response", None), 2: (6_000_000, "revisit", 1), 3: (0, "response", None)}
