@@ -1,94 +1,108 @@
-"""Line de-duplication by prefix doubling over line-id sequences.
+"""Line de-duplication by a suffix array over line-id sequences.
 
 A text is the sequence of the ids of its lines that hold words. A run of lines
 with at least ``min_words`` words that occurs again, anywhere later in the corpus
 (order: id, then place), loses its later copies.
 
-1. Lines that occur once can't be in a repeated run; an exact count of ids prunes
-   them. What stays is a fraction of the corpus, as narrow rows.
-2. Prefix doubling: the rank of the 2k lines from a place on is made of the ranks
-   of its two halves of k lines. Ranks are names from a 128-bit hash, so equal
-   ranks mean equal lines and no global sort is needed between the rounds; a
-   round is an array expression within a text and moves no data.
-3. Suffixes that agree on their first m lines, a longest-common-prefix interval
-   of at least m, share the rank pair (m, rank of the first 2^j lines, rank of the
-   last 2^j of the m). The intervals asked for are those just long enough for
-   ``min_words``, from each place forwards and backwards: together these cover
-   exactly the repeated runs of at least ``min_words`` words, whole.
-4. The first place of each interval stays, all others go. Intervals are made by
-   map-side combined aggregates and joined back by a skew-splitting join.
+1. Lines that occur once can't be in a repeated run, nor can stretches of the other
+   lines that have too few words. What stays is a fraction of the corpus, as narrow
+   rows: a suffix is its place (number of the text, place of the line).
+2. Prefix doubling: the rank of the first 2k lines of a suffix is the place, in
+   sorted order, of the pair of ranks of its two halves of k lines. A round joins
+   each suffix with the one k places on, sorts the distinct pairs by range and
+   numbers them. Suffixes whose first lines occur once leave the rounds.
+3. Suffixes of equal rank are an interval of the suffix array with that longest
+   common prefix at least. Going down from the longest ranks, intervals are split:
+   those members of an interval that share a further rank form an inner interval
+   with a longer prefix, and stand in the outer one by their first member alone. So
+   each suffix gets the longest prefix that it shares with any earlier suffix: the
+   maximal repeated run from its place on.
+4. Runs of enough words go, joined per text. The first place of a run stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from .common import KEY, WORD, cut, key_of, let
-
-def rank(a: Column, b: Column) -> Column:
-    """The rank of two neighbouring stretches; null if the second is missing."""
-    return F.when(b.isNotNull(), F.struct(F.xxhash64(a["x"], b["x"], F.lit(1)).alias("x"), F.xxhash64(a["y"], F.lit(2), b["y"]).alias("y")))
-
-
-def rank_levels(lines: Column, rounds: int) -> Column:
-    """Arrays of the ranks of 1, 2, 4, ... lines from each place on."""
-
-    def grow(levels: list[Column], k: int) -> Column:
-        if len(levels) > rounds:
-            return F.array(*levels)
-        last = levels[-1]
-        return let(F.zip_with(last, F.slice(last, F.lit(k + 1), F.greatest(F.size(last), F.lit(1))), rank), lambda up: grow([*levels, up], 2 * k))
-
-    return let(F.transform(lines, lambda e: F.struct(e["x"], e["y"])), lambda first: grow([first], 1))
-
-
-def windows(lines: Column, min_words: int) -> Column:
-    """Array of (first, last, m, head, tail): the shortest runs of ``min_words`` from each place, both ways."""
-    rounds = max(min_words, 1).bit_length() - 1
-
-    def reach(part: Column) -> Column:
-        """How many elements it takes to have the words; null if there are too few."""
-        zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
-        step = lambda acc, e: F.when(acc["sum"] >= min_words, acc).otherwise(F.struct((acc["sum"] + e["words"]).alias("sum"), (acc["n"] + 1).alias("n")))
-        return F.aggregate(part, zero, step, lambda acc: F.when(acc["sum"] >= min_words, acc["n"]))
+import functools
 
-    def forward(e: Column, i: Column) -> Column:
-        return F.struct(i.alias("a"), reach(F.slice(lines, i + 1, F.lit(min_words))).alias("m"))
-
-    def backward(e: Column, i: Column) -> Column:
-        n = F.least(i + 1, F.lit(min_words))
-        m = reach(F.reverse(F.slice(lines, i + 2 - n, n)))
-        return F.struct((i + 1 - m).alias("a"), m.alias("m"))
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-    def named(levels: Column, s: Column) -> Column:
-        j = F.floor(F.log2(s["m"].cast("double")) + 1e-9).cast("int")
-        level = F.get(levels, j)
-        tail = s["a"] + s["m"] - F.pow(F.lit(2), j).cast("int")
-        return F.struct(F.get(lines, s["a"])["place"].alias("first"), F.get(lines, s["a"] + s["m"] - 1)["place"].alias("last"), s["m"].alias("m"), F.get(level, s["a"]).alias("head"), F.get(level, tail).alias("tail"))
+from .common import KEY, WORD, cut, key_of, let, numbered, stored
 
-    both = F.array_distinct(F.filter(F.concat(F.transform(lines, forward), F.transform(lines, backward)), lambda s: s["m"].isNotNull()))
-    found = let(rank_levels(lines, rounds), lambda levels: F.transform(both, lambda s: named(levels, s)))
-    return F.filter(found, lambda s: s["last"] - s["first"] == s["m"] - 1)
+SHIFT = 31  # bits of a place within its text
 
 
-def repeated(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """KEY and ``gone``: places, among a text's lines with words, that belong to later copies."""
+def suffixes(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): places p of lines that may be in a repeated run, with x, y, words and the words from there to the end of their stretch; numbers of texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     element = lambda line: F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(7), line).alias("y"), F.regexp_count(line, F.lit(WORD)).alias("words"))
     placed = F.filter(F.transform(F.split(text, "\n", -1), element), lambda e: e["words"] > 0)
     texts = cut(df.select(*key_of(id_col, text_col), placed.alias("lines")))
     rows = texts.select(*KEY, F.posexplode("lines").alias("place", "line")).select(*KEY, "place", "line.*")
     often = cut(rows.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y"))
-    kept = rows.join(often, ["x", "y"], "left_semi")
-    grouped = kept.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("place", "x", "y", "words"))).alias("lines"))
-    # The generator keeps the sorted array from being computed anew at each mention.
-    grouped = grouped.select(*KEY, F.explode(F.array("lines")).alias("lines"))
-    spans = cut(grouped.select(*KEY, F.explode(windows(F.col("lines"), min_words)).alias("s")).select(*KEY, "s.*"))
-    where = F.struct(*KEY, "first")
-    groups = cut(spans.groupBy("m", "head", "tail").agg(F.min(where).alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    later = spans.join(groups, ["m", "head", "tail"]).filter(where > F.col("keep"))
-    return later.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("gone"))
+    kept = rows.join(often, ["x", "y"], "left_semi").dropDuplicates([*KEY, "place"])
+    order = Window.partitionBy(*KEY).orderBy("place")
+    stretch = Window.partitionBy(*KEY, "stretch")
+    marked = kept.withColumn("stretch", F.col("place") - F.row_number().over(order))
+    long_enough = marked.withColumn("total", F.sum("words").over(stretch)).filter(F.col("total") >= min_words)
+    onward = stretch.orderBy("place").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = stored(long_enough.withColumn("onward", F.sum("words").over(onward)).select(*KEY, "place", "x", "y", "words", "onward"))
+    numbers = stored(numbered(found.select(*KEY).distinct(), list(KEY), "doc"))
+    at = F.shiftleft(F.col("doc"), SHIFT) + F.col("place")
+    return stored(found.join(numbers, list(KEY)).select(at.alias("p"), "x", "y", "words", "onward")), numbers
+
+
+def doubled_ranks(rows: DataFrame) -> list[DataFrame]:
+    """Tables (p, r): ranks of the first 1, 2, 4, ... lines of the suffixes that share them with another."""
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        shared = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
+        return stored(pairs.join(numbered(shared, ["a", "b"], "r"), ["a", "b"]).select("p", "r"))
+
+    levels = [ranked(rows.select("p", F.col("x").alias("a"), F.col("y").alias("b")))]
+    while levels[-1].limit(1).count():
+        last, k = levels[-1], 1 << (len(levels) - 1)
+        second = last.select((F.col("p") - k).alias("p"), F.col("r").alias("b"))
+        levels.append(ranked(stored(last.withColumnRenamed("r", "a").join(second, "p"))))
+    return levels[:-1]
+
+
+def longest_earlier(rows: DataFrame, levels: list[DataFrame], min_words: int) -> DataFrame:
+    """(p, m): most lines from place p on that also stand at an earlier place.
+
+    An interval is named by its first member ``f`` and its prefix length ``m``; the
+    outermost has neither.
+    """
+    state = rows.filter(F.col("onward") >= min_words).select("p", F.lit(-1).cast("bigint").alias("f"), F.lit(0).cast("bigint").alias("m"))
+    found = []
+    for k in reversed(range(len(levels))):
+        ahead = levels[k].select(F.col("p").alias("q"), "r")
+        looked = stored(state.withColumn("q", F.col("p") + F.col("m")).join(ahead, "q", "left").select("p", "f", "m", "r"))
+        inner = looked.filter("r IS NOT NULL").groupBy("f", "m", "r").agg(F.min("p").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        inner = cut(inner)
+        split = stored(looked.join(inner, ["f", "m", "r"], "left").select("p", "f", "m", "first"))
+        deeper = split.filter("first IS NOT NULL").select("p", F.col("first").alias("f"), (F.col("m") + (1 << k)).alias("m"))
+        found.append(deeper.filter("p > f").select("p", "m"))
+        state = deeper.unionByName(split.filter("first IS NULL OR first = p").select("p", "f", "m"))
+    if not found:
+        return state.select("p", "m").filter("m > 0")
+    return functools.reduce(DataFrame.unionByName, found).groupBy("p").agg(F.max("m").alias("m"))
+
+
+def repeated(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """KEY and ``gone``: places, among a text's lines with words, that belong to later copies."""
+    rows, numbers = suffixes(df, id_col, text_col, min_words)
+    runs = longest_earlier(rows, doubled_ranks(rows), min_words)
+    ends = rows.select(F.col("p").alias("last"), (F.col("onward") - F.col("words")).alias("after"))
+    sized = runs.join(rows.select("p", "onward"), "p").withColumn("last", F.col("p") + F.col("m") - 1).join(ends, "last")
+    whole = sized.filter(F.col("onward") - F.col("after") >= min_words).select(F.shiftright("p", SHIFT).alias("doc"), F.col("p").alias("first"), "last")
+    order = Window.partitionBy("doc").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = whole.withColumn("fresh", F.when(F.coalesce(F.col("first") > reach + 1, F.lit(True)), 1).otherwise(0))
+    parts = opened.withColumn("part", F.sum("fresh").over(order)).groupBy("doc", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    place = lambda p: F.col(p).bitwiseAND((1 << SHIFT) - 1).cast("int")
+    gone = parts.groupBy("doc").agg(F.flatten(F.collect_list(F.sequence(place("first"), place("last")))).alias("gone"))
+    return gone.join(numbers, "doc").select(*KEY, "gone")
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -96,7 +110,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     Lines are compared as they are; lines without words belong to no run and stay.
     A null text has no lines and stays null. Rows that repeat id and text are one
-    text and keep the same lines. Texts with null ids come last in the order.
+    text and keep the same lines. Texts with null ids come last in the order. A text
+    is read whole, whatever its length; an empty table gives no rows.
     """
     gone = repeated(df, id_col, text_col, min_words)
     packed = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), *key_of(id_col, text_col))
