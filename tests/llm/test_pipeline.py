@@ -40,10 +40,11 @@ def test_lines_keep_rows_and_only_delete(stages):
 
 
 def test_one_document_of_each_group_stays(stages):
-    from clipmill.llm.simhash import near_duplicates
+    """Against all pairs of five-word sets; every document goes that brute force drops, and no other."""
+    from tests.llm.test_similar import brute
 
-    groups = near_duplicates(stages[2]).filter("doc_id = component_id").count()
-    assert stages[3].count() == groups == near_duplicates(stages[3]).select("component_id").distinct().count()
+    kept, pairs = brute([(r.doc_id, r.text) for r in stages[2].select("doc_id", "text").collect()])
+    assert {r.doc_id for r in stages[3].collect()} == kept and stages[3].count() == len(kept)
 
 
 def test_mix_and_pieces(stages):
