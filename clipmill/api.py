@@ -139,7 +139,8 @@ class Collection:
         s = self.store
         docs = filters.captured(s.read("documents")).select("id", strip_source_suffix(F.col("source_title")).alias("title"))
         texts = worklists.joined_bodies(s.read("entries")).withColumnRenamed("document_id", "id")
-        relations, queue = neardup.scan_links(neardup.exact_pairs(docs.join(texts, "id"), title="title"), s.read("document_relations"), decisions)
+        whole = docs.join(texts, "id")
+        relations, queue = neardup.scan_links(neardup.exact_pairs(whole, title="title"), whole, s.read("document_relations"), decisions)
         relations = durable(relations)
         if relations.limit(1).count():
             s.upsert("document_relations", with_ids(relations, s.top_id("document_relations"), ["from_document_id", "to_document_id"]))

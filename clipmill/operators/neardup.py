@@ -188,12 +188,13 @@ def spanning_forest(pairs: DataFrame, old_links: DataFrame) -> DataFrame:
         links = old_links.select("a", "b").unionByName(taken)
 
 
-def scan_links(pairs: DataFrame, related: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def scan_links(pairs: DataFrame, docs: DataFrame, related: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(relations, review queue) of a scan.
 
     Automatic pairs link their documents, as a spanning forest. Other pairs across
     families take the resolution of the decision table (a, b, resolution), or wait
-    in the queue; pairs that are related already are passed over.
+    in the queue, those that are asked for a long block only if the texts of ``docs``
+    (id, text) share one; pairs that are related already are passed over.
     """
     from .families import components
 
@@ -204,6 +205,8 @@ def scan_links(pairs: DataFrame, related: DataFrame, decisions: DataFrame | None
     family = components(old_links.unionByName(forest.select("a", "b")))
     of = lambda s: family.select(F.col("document_id").alias(s), F.col("family").alias(f"f{s}"))
     asked = fresh.filter("verdict <> 'auto'").join(of("a"), "a", "left").join(of("b"), "b", "left").filter("fa IS NULL OR fb IS NULL OR fa <> fb").drop("fa", "fb")
+    blocky = shared_blocks(asked.filter("verdict = 'prompt_if_block'"), docs).filter(F.col("block_words") >= S.BLOCK_WORDS).drop("block_words")
+    asked = durable(asked.filter("verdict <> 'prompt_if_block'").unionByName(blocky))
     links = forest.withColumn("resolution", F.lit("superseded"))
     if decisions is not None:
         answered = asked.join(decisions.select("a", "b", "resolution"), ["a", "b"], "left")

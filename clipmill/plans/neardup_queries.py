@@ -83,7 +83,7 @@ def containment_pairs(spark, sf):
 
 def minhash_md5_signature(spark, sf):
     rows = S.with_shingles(docs(spark, sf).select("id", "text")).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct("shingles")).alias("s"))
-    return S.minhash_md5(rows, "doc_id", "s", 4)
+    return S.minhash_md5(rows, "doc_id", "s", S.LANES)
 
 
 def minhash_jaccard(spark, sf):
@@ -91,20 +91,6 @@ def minhash_jaccard(spark, sf):
     low = minhash_md5_signature(spark, sf)
     side = lambda s: low.select(F.col("doc_id").alias(s), "lane", F.col("low").alias(f"low_{s}"))
     both = pairs(spark, sf).select("a", "b").join(side("a"), "a").join(side("b"), ["b", "lane"])
-    return both.groupBy("a", "b").agg(F.round(F.count_if(F.col("low_a") == F.col("low_b")) / 4, 6).alias("estimate"))
-
-
-def minhash_md5_signature_128(spark, sf):
-    """All lanes of the md5 signature; the one above has the four of its SQL."""
-    rows = S.with_shingles(docs(spark, sf).select("id", "text")).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct("shingles")).alias("s"))
-    return S.minhash_md5(rows, "doc_id", "s", S.LANES)
-
-
-def minhash_jaccard_128(spark, sf):
-    """Share of equal md5 lanes of near-duplicate pairs, by all lanes."""
-    low = minhash_md5_signature_128(spark, sf)
-    side = lambda s: low.select(F.col("doc_id").alias(s), "lane", F.col("low").alias(f"low_{s}"))
-    both = pairs(spark, sf).select("a", "b").join(side("a"), "a").join(side("b"), ["b", "lane"])
     return both.groupBy("a", "b").agg((F.count_if(F.col("low_a") == F.col("low_b")) / S.LANES).alias("estimate"))
 
 
@@ -136,13 +122,6 @@ def dup_window_candidates(spark, sf):
     return neardup.within_days(new, old, "new_clip_date", "old_clip_date").filter("old_id < new_id")
 
 
-def gray_predecessor(spark, sf):
-    """Decisions for made-up verdicts of the pairs of the date window."""
-    verdict = F.when((F.col("new_id") + F.col("old_id")) % 31 == 0, "auto").when((F.col("new_id") + F.col("old_id")) % 3 == 0, "gray")
-    cases = dup_window_candidates(spark, sf).withColumn("verdict", verdict).filter("verdict IS NOT NULL")
-    return neardup.decided(cases).select("new_id", "old_id", "resolution")
-
-
 def signature_cases(spark, sf):
     weekly = docs(spark, sf).select("id", "text", m.days_after("id").alias("clip_date"), F.col("source_title").alias("title"))
     signed = S.signatures(weekly).drop("names")
@@ -153,7 +132,7 @@ def signature_cascade(spark, sf):
     return signature_cases(spark, sf).select("new_id", "old_id", "similarity", "verdict")
 
 
-def gray_predecessor_signatures(spark, sf):
+def gray_predecessor(spark, sf):
     """Decisions for the signature verdicts of all pairs of the date window."""
     return neardup.decided(durable(signature_cases(spark, sf))).select("new_id", "old_id", "resolution")
 
@@ -184,12 +163,12 @@ def kept_both_conflicts(spark, sf):
 
 def review_queue(spark, sf):
     none = spark.createDataFrame([], "from_document_id long, to_document_id long, resolution string")
-    return neardup.scan_links(pairs(spark, sf), none)[1].select("a", "b", "verdict")
+    return neardup.scan_links(pairs(spark, sf), docs(spark, sf), none)[1].select("a", "b", "verdict")
 
 
 def scan_forest(spark, sf):
     none = spark.createDataFrame([], "from_document_id long, to_document_id long, resolution string")
-    return neardup.scan_links(pairs(spark, sf), none)[0]
+    return neardup.scan_links(pairs(spark, sf), docs(spark, sf), none)[0]
 
 
 def thread_sides(spark, sf):
@@ -230,8 +209,8 @@ def manifest_rules(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        shingle_counts, exact_jaccard_pairs, exact_titled_pairs, containment_pairs, minhash_md5_signature, minhash_jaccard, minhash_md5_signature_128, minhash_jaccard_128, signature_estimates, estimated_overlap, shared_block, dup_window_candidates,
-        gray_predecessor, gray_predecessor_signatures, signature_cascade, version_families, current_versions, supersession_annotation, repaired_tags, kept_both_conflicts, review_queue, scan_forest, thread_overlap, positional_merge,
+        shingle_counts, exact_jaccard_pairs, exact_titled_pairs, containment_pairs, minhash_md5_signature, minhash_jaccard, signature_estimates, estimated_overlap, shared_block, dup_window_candidates,
+        gray_predecessor, signature_cascade, version_families, current_versions, supersession_annotation, repaired_tags, kept_both_conflicts, review_queue, scan_forest, thread_overlap, positional_merge,
         same_author_runs, sync_classification, manifest_rules,
     )
 }
@@ -254,23 +233,23 @@ x AS (SELECT k, id, list_filter(list_transform(regexp_split_to_array(text, '\s+'
 s AS (SELECT DISTINCT k, id, unnest(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, CAST(len(w) - 1 AS BIGINT)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM x),
 n AS (SELECT id, count(*) AS n FROM s WHERE k = 'b' GROUP BY id)
 SELECT b.id AS item_id, d.id AS doc_id, count(*) AS shared, any_value(n) AS n FROM s b JOIN s d ON b.s = d.s AND b.k = 'b' AND d.k = 'd' JOIN n ON n.id = b.id GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.8""",
-    "minhash_md5_signature": f"WITH {SETS} SELECT doc_id, lane::INTEGER AS lane, min(md5(lane || ':' || s)) AS low FROM sh, range(4) r(lane) GROUP BY doc_id, lane",
-    "minhash_jaccard": f"WITH {PAIRS}, low AS (SELECT doc_id, lane, min(md5(lane || ':' || s)) AS low FROM sh, range(4) r(lane) GROUP BY doc_id, lane) SELECT a, b, round(count_if(x.low = y.low) / 4, 6) AS estimate FROM plain JOIN low x ON x.doc_id = a JOIN low y ON y.doc_id = b AND y.lane = x.lane WHERE verdict <> 'none' GROUP BY a, b",
     "estimated_overlap": f"WITH {PAIRS} SELECT a, b, round(least(1.0, j * (n_a + n_b) / (1 + j) / least(n_a, n_b)), 9) AS overlap FROM plain WHERE verdict <> 'none'",
     "shared_block": f"""WITH {PAIRS}, placed AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS p FROM seqs),
 hit AS (SELECT a, b, x.p AS x, y.p AS y FROM plain JOIN placed x ON x.doc_id = a JOIN placed y ON y.doc_id = b AND y.s = x.s WHERE verdict <> 'none'),
 isl AS (SELECT a, b, x - y AS d, x - row_number() OVER (PARTITION BY a, b, x - y ORDER BY x) AS g FROM hit), runs AS (SELECT a, b, count(*) AS n FROM isl GROUP BY a, b, d, g)
 SELECT a, b, max(n) + 2 AS block_words FROM runs GROUP BY a, b""",
     "dup_window_candidates": f"WITH {WINDOW} SELECT * FROM win",
-    "gray_predecessor": f"""WITH {WINDOW}, cases AS (SELECT *, CASE WHEN (new_id + old_id) % 31 = 0 THEN 'auto' WHEN (new_id + old_id) % 3 = 0 THEN 'gray' END AS verdict FROM win),
-kept AS (SELECT *, count_if(verdict = 'auto') OVER (PARTITION BY new_id) AS autos FROM cases WHERE verdict IS NOT NULL)
-SELECT new_id, old_id, 'superseded' AS resolution FROM kept WHERE verdict = 'auto' UNION ALL SELECT new_id, max(old_id), 'review' FROM kept WHERE autos = 0 GROUP BY new_id""",
     "version_families": f"WITH RECURSIVE {FAMILIES} SELECT document_id, family, current_document_id FROM members",
     "current_versions": f"WITH RECURSIVE {FAMILIES} SELECT document_id, family, row_number() OVER (PARTITION BY family ORDER BY document_id)::INTEGER AS place, document_id = current_document_id AS is_current FROM members",
     "supersession_annotation": f"WITH RECURSIVE {FAMILIES} SELECT doc_id AS document_id, coalesce(m.document_id <> m.current_document_id, false) AS superseded, CASE WHEN m.document_id <> m.current_document_id THEN m.current_document_id END AS current_document_id FROM documents LEFT JOIN members m ON m.document_id = doc_id",
     "repaired_tags": f"WITH RECURSIVE {FAMILIES}, {TAG_ROWS} SELECT document_id, tag FROM tags UNION SELECT document_id, 'superseded' FROM members WHERE document_id <> current_document_id",
     "kept_both_conflicts": f"WITH RECURSIVE {FAMILIES} SELECT b AS from_document_id, a AS to_document_id, x.family FROM plain JOIN members x ON x.document_id = b JOIN members y ON y.document_id = a AND y.family = x.family WHERE verdict NOT IN ('auto', 'none') UNION ALL SELECT document_id, family, family FROM members WHERE document_id <> family",
-    "review_queue": f"WITH RECURSIVE {FAMILIES} SELECT a, b, verdict FROM plain LEFT JOIN members x ON x.document_id = a LEFT JOIN members y ON y.document_id = b WHERE verdict NOT IN ('auto', 'none') AND (x.family IS NULL OR y.family IS NULL OR x.family <> y.family)",
+    "review_queue": f"""WITH RECURSIVE {FAMILIES}, placed AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS p FROM seqs),
+hit AS (SELECT a, b, x.p AS x, y.p AS y FROM plain JOIN placed x ON x.doc_id = a JOIN placed y ON y.doc_id = b AND y.s = x.s WHERE verdict = 'prompt_if_block'),
+isl AS (SELECT a, b, x - y AS d, x - row_number() OVER (PARTITION BY a, b, x - y ORDER BY x) AS g FROM hit), runs AS (SELECT a, b, count(*) AS n FROM isl GROUP BY a, b, d, g),
+blocks AS (SELECT a, b FROM runs GROUP BY a, b HAVING max(n) + 2 >= 300)
+SELECT p.a, p.b, verdict FROM plain p LEFT JOIN members x ON x.document_id = p.a LEFT JOIN members y ON y.document_id = p.b LEFT JOIN blocks k ON k.a = p.a AND k.b = p.b
+WHERE (verdict = 'prompt' OR (verdict = 'prompt_if_block' AND k.a IS NOT NULL)) AND (x.family IS NULL OR y.family IS NULL OR x.family <> y.family)""",
     "thread_overlap": f"WITH {SIDES} SELECT conv_id AS document_id, new_start, run_length, run_bytes FROM best",
     "positional_merge": f"WITH {SIDES}, top AS (SELECT conv_id, max(p) AS top FROM stored GROUP BY conv_id) SELECT n.conv_id AS document_id, top + 1 + q - (new_start + run_length) AS position, role AS author, text AS body FROM new n JOIN best b USING (conv_id) JOIN top USING (conv_id) WHERE q >= new_start + run_length",
     "same_author_runs": """WITH t AS (SELECT conv_id AS document_id, turn, CASE WHEN turn % 4 < 2 THEN role ELSE 'user' END AS author, text FROM conversations),

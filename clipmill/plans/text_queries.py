@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from .. import schema
 from ..functions import chunking, parsers
 from ..functions import text as T
 from ..operators import listing, worklists
+from ..session import shared_folder
 from ..sources import clips, store
 from ..streaming import ingest as streams
 from . import model as m
@@ -68,13 +69,6 @@ def diff_regions(spark, sf):
 
 
 def claim_lines(spark, sf):
-    t = m.table(spark, sf, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
-    answer = F.concat(F.lit("Here are the claims:\n- "), F.substring("text", 1, 20), F.lit("\n\n1. [x] "), F.substring("text", 5, 20), F.lit("\n[source] told\n[only]\nNote: none\n1234. kept"))
-    return t.select("conv_id", "turn", F.posexplode(T.claims(answer)).alias("n", "claim"))
-
-
-def claim_lines_whole(spark, sf):
-    """Over whole turns; the one above takes the parts of its SQL."""
     t = m.table(spark, sf, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
     answer = F.concat(F.lit("Here are the claims:\n- "), F.col("text"), F.lit("\n\n1. [x] "), F.col("text"), F.lit("\n[source] told\n[only]\nNote: none\n1234. kept"))
     return t.select("conv_id", "turn", F.posexplode(T.claims(answer)).alias("n", "claim"))
@@ -148,11 +142,6 @@ def source_hash(spark, sf):
 
 
 def single_author(spark, sf):
-    return worklists.single_author(turns(spark, sf).filter("position % 2 = document_id % 2 OR document_id % 3 = 0"))
-
-
-def single_author_all(spark, sf):
-    """Over all turns; the one above takes those of its SQL."""
     return worklists.single_author(turns(spark, sf))
 
 
@@ -220,10 +209,10 @@ def event_sessions(spark, sf):
 
 def stream_replay(spark, sf):
     """Event windows computed as a stream over the table, to the end."""
-    name = f"replay_{abs(hash(sf)) % 10**8}"
+    name = f"replay_{uuid.uuid4().hex}"
     source = spark.readStream.schema(m.table(spark, sf, "events").schema).parquet(f"{sf}/events*")
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    query = streams.event_windows(source).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    query = streams.event_windows(source).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
@@ -231,8 +220,8 @@ def stream_replay(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_ascii, strip_suffix, group_key, title_groups, truncate_bytes, length_tier, diff_regions, claim_lines, claim_lines_whole, doctype_detection, clip_header_date, chunk_windows, chunk_snapped, sentence_boundaries,
-        markdown_sections, mail_summary_entries, chat_entries, email_entries, email_issues, line_candidates, source_hash, single_author, single_author_all, full_text, yank_text, entry_chunks, pending_embeddings,
+        normalize_ascii, strip_suffix, group_key, title_groups, truncate_bytes, length_tier, diff_regions, claim_lines, doctype_detection, clip_header_date, chunk_windows, chunk_snapped, sentence_boundaries,
+        markdown_sections, mail_summary_entries, chat_entries, email_entries, email_issues, line_candidates, source_hash, single_author, full_text, yank_text, entry_chunks, pending_embeddings,
         needs_extraction, needs_derivation, needs_diff_summary, transcript_segments, orphan_rows, upsert_relations, event_windows, event_sessions, stream_replay,
     )
 }
@@ -255,7 +244,7 @@ ORACLE = {
     "diff_regions": """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS a, string_split(lead(text) OVER (PARTITION BY lang, source ORDER BY doc_id), chr(10)) AS b FROM documents),
 q AS (SELECT *, list_transform(a, lambda x: trim(x)) AS ta, list_transform(b, lambda x: trim(x)) AS tb FROM p WHERE b IS NOT NULL)
 SELECT doc_id, sha256(array_to_string(list_filter(a, lambda x: trim(x) <> '' AND NOT list_contains(tb, trim(x))), chr(10))) AS added_sha256, sha256(array_to_string(list_filter(b, lambda x: trim(x) <> '' AND NOT list_contains(ta, trim(x))), chr(10))) AS removed_sha256 FROM q""",
-    "claim_lines": """WITH l AS (SELECT conv_id, turn, list_filter([trim(substr(text, 1, 20)), trim('[x] ' || substr(text, 5, 20)), 'told', '[only]', '1234. kept'], lambda x: x <> '') AS c FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)) SELECT conv_id, turn, unnest(c) AS claim, (generate_subscripts(c, 1) - 1)::INTEGER AS n FROM l""",
+    "claim_lines": """WITH l AS (SELECT conv_id, turn, list_filter([trim(text), trim('[x] ' || text), 'told', '[only]', '1234. kept'], lambda x: x <> '') AS c FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations)) SELECT conv_id, turn, unnest(c) AS claim, (generate_subscripts(c, 1) - 1)::INTEGER AS n FROM l""",
     "doctype_detection": f"WITH {TITLED} SELECT doc_id, CASE WHEN contains(title, 'Copilot') THEN 'copilot_email' WHEN regexp_matches(title, '- (Outlook|Mail|Gmail)( - Brave)?$') THEN 'email' WHEN regexp_matches(title, '(Channel|DM).*Slack( - Brave)?$') THEN 'slack' WHEN regexp_matches(title, 'Claude( - Brave)?$') THEN 'claude' WHEN doc_id % 7 = 0 THEN 'markdown' WHEN len(list_filter(string_split(text, chr(10))[1:100], lambda x: contains(x, '**'))) >= 3 THEN 'claude' END AS doctype FROM titled",
     "clip_header_date": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN trim(source) END AS title, sha256(text) AS body_sha256, CASE WHEN doc_id % 5 <> 0 THEN strftime(TIMESTAMP '2024-01-01 00:07:09' + to_hours(doc_id), '%Y-%m-%d %H:%M:%S') END AS clip_date FROM documents",
     "chunk_windows": r"""WITH n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM documents),
@@ -270,7 +259,7 @@ UNION ALL SELECT doc_id, 1, 2, 'Part', sha256('end') FROM d UNION ALL SELECT doc
 SELECT document_id, position::INTEGER AS position, 'null author' AS issue FROM t WHERE author IS NULL UNION ALL SELECT document_id, position, 'empty body' FROM t WHERE trim(text) = '' UNION ALL SELECT document_id, position, 'long body' FROM t WHERE length(text) > 5000 UNION ALL SELECT document_id, position, 'unparsed timestamp' FROM t WHERE ts IS NOT NULL""",
     "line_candidates": r"WITH l AS (SELECT DISTINCT conv_id, turn, unnest(list_transform(string_split(text, chr(10)), lambda x: lower(trim(regexp_replace(x, '[\s]+', ' ', 'g'))))) AS line FROM conversations) SELECT line, count(*) AS n_entries FROM l WHERE line <> '' GROUP BY line",
     "source_hash": "SELECT conv_id AS document_id, sha256(string_agg(text, chr(0) ORDER BY turn)) AS source_hash FROM conversations GROUP BY conv_id",
-    "single_author": "SELECT conv_id AS document_id, CASE WHEN count(DISTINCT role) = 1 THEN min(role) END AS author FROM conversations WHERE turn % 2 = conv_id % 2 OR conv_id % 3 = 0 GROUP BY conv_id",
+    "single_author": "SELECT conv_id AS document_id, CASE WHEN count(DISTINCT role) = 1 THEN min(role) END AS author FROM conversations GROUP BY conv_id",
     "full_text": f"WITH {TURN_ROWS} SELECT document_id, sha256(string_agg(CASE WHEN heading IS NOT NULL THEN '## ' || heading || chr(10) || chr(10) ELSE '' END || '[' || author || ']' || chr(10) || body || chr(10) || chr(10), '' ORDER BY position)) AS text_sha256 FROM t GROUP BY document_id",
     "yank_text": f"WITH {TURN_ROWS} SELECT document_id, sha256(string_agg(CASE WHEN heading IS NOT NULL THEN '## ' || heading || chr(10) || chr(10) ELSE '' END || body, chr(10) || chr(10) ORDER BY position)) AS text_sha256 FROM t GROUP BY document_id",
     "entry_chunks": "SELECT conv_id AS document_id, sum(CASE WHEN role = 'user' OR trim(text) <> '' THEN 1 ELSE 0 END)::BIGINT AS n FROM conversations GROUP BY conv_id",
