@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a piece mark of the text itself; no valid text holds a lone surrogate
 BATCH, ROWS = 1 << 20, 512
-MOST_STATES = 1_500_000
+MOST_STATES = 500_000  # places whose tables are kept; a worker holds them while it lives
 SCALAR = 64
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())])
