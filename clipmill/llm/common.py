@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,18 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ordered.join(F.broadcast(offsets), "part").withColumn(name, F.col("offset") + F.col("mid") + 1).drop("part", "mid", "offset")
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system.
+
+    Workers are reused from task to task and stage to stage; what the C library
+    and Arrow keep of freed blocks would count against the executor all along.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a piece mark of the text itself; no valid text holds a lone surrogate
-BATCH, ROWS = 1 << 20, 512
+BATCH, ROWS = 1 << 18, 512
 MOST_STATES = 500_000  # places whose tables are kept; a worker holds them while it lives
-SCALAR = 64
+SCALAR, CELLS = 64, 50_000  # characters of one chunk, and of all, that go through the lattice side by side
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())])
 
@@ -172,8 +174,8 @@ class Lattices:
                 for c in same:
                     self.add(c)
                 continue
-            for at in range(0, len(same), 1 + 200_000 // n):
-                self.add_side_by_side(same[at : at + 1 + 200_000 // n], n)
+            for at in range(0, len(same), 1 + CELLS // n):
+                self.add_side_by_side(same[at : at + 1 + CELLS // n], n)
 
     def add_side_by_side(self, chunks: list[str], n: int) -> None:
         """As ``add``, for chunks of length n; the state of place j of chunk r is first + (j - 1) * len(chunks) + r."""
@@ -317,6 +319,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        give_back()
         return as_lists(*lattices(proto, alpha).encode(texts.to_pylist(), [f"{seed}:{k}" for k in keys.to_pylist()]))
 
     return df.select(F.struct("*").alias("row"), ids(F.col(id_col), F.col(text_col)).alias("ids"))
@@ -334,26 +337,32 @@ def decode(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame
     return df.select(F.struct("*").alias("row"), texts(F.col(ids_col)).alias("text"))
 
 
+def checked(table: Lattices, keys: pa.Array, texts: pa.Array, seed: int) -> pa.Array:
+    """A batch's ids, with digests of what they decode to."""
+    all_ids, all_counts, hashes, same = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], []
+    for start in range(0, len(texts), ROWS):  # few rows at a time, so that memory stays low
+        plain = texts.slice(start, ROWS).to_pylist()
+        ids, counts = table.encode(plain, [f"{seed}:{k}" for k in keys.slice(start, ROWS).to_pylist()])
+        at = 0
+        for text, n in zip(plain, counts.tolist(), strict=True):
+            back = table.decode(ids[at : at + n].tolist())
+            hashes.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+            same.append(back == (text or ""))
+            at += n
+        all_ids.append(ids)
+        all_counts.append(counts)
+    lists = as_lists(np.concatenate(all_ids), np.concatenate(all_counts))
+    return pa.StructArray.from_arrays([lists, pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], ["ids", "decoded_sha256", "lossless"])
+
+
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """All rows as struct ``row`` with ids, n_pieces, decoded_sha256 and lossless; both ways in one pass."""
     proto = load(model)
 
     @F.arrow_udf(RESULT)
     def both(keys: pa.Array, texts: pa.Array) -> pa.Array:
-        table, all_ids, all_counts, hashes, same = lattices(proto, alpha), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], []
-        for start in range(0, len(texts), ROWS):  # few rows at a time, so that memory stays low
-            plain = texts.slice(start, ROWS).to_pylist()
-            ids, counts = table.encode(plain, [f"{seed}:{k}" for k in keys.slice(start, ROWS).to_pylist()])
-            at = 0
-            for text, n in zip(plain, counts.tolist(), strict=True):
-                back = table.decode(ids[at : at + n].tolist())
-                hashes.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                same.append(back == (text or ""))
-                at += n
-            all_ids.append(ids)
-            all_counts.append(counts)
-        lists = as_lists(np.concatenate(all_ids), np.concatenate(all_counts))
-        return pa.StructArray.from_arrays([lists, pa.array(hashes, pa.string()), pa.array(same, pa.bool_())], ["ids", "decoded_sha256", "lossless"])
+        give_back()
+        return checked(lattices(proto, alpha), keys, texts, seed)
 
     packed = df.select(F.struct("*").alias("row"), both(F.col(id_col), F.col(text_col)).alias("r"))
     return packed.select("row", "r.ids", F.size("r.ids").cast("long").alias("n_pieces"), "r.decoded_sha256", "r.lossless")

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 CUTOFF = 0.3
 #: Least share of a good document's length that is good, and most of a bad one's.
 SHARE_GOOD, SHARE_BAD = 0.8, 0.2
@@ -270,6 +272,7 @@ def score(df: DataFrame, model: LineCrf, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def scores(texts: pd.Series) -> pd.Series:
+        give_back()
         return pd.Series(model.scores(texts))
 
     return df.select(F.struct("*").alias("row"), scores(F.col(text_col)).alias("score"))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, cut, key_of, stored
+from .common import KEY, cut, give_back, key_of, stored
 
 DISTANCE = 3
 SEED = 42
@@ -93,6 +93,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 @F.pandas_udf(T.LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
+    give_back()
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
@@ -328,6 +329,8 @@ def searcher(orders: list[Order], width: int, distance: int, bounds: tuple[int,
                     kept.append(batch.slice(s, e - s))
         if kept:
             yield from emit(pa.Table.from_batches(kept))
+        del kept
+        give_back()
 
     return search
 
@@ -434,10 +437,12 @@ def classes_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             names = np.unique(shingle_hashes(text, WORDS))
             rows.append((np.uint64(xxhash.xxh3_64_intdigest(names.tobytes())).view(np.int64), len(names), sketch(names, WIDTH).tobytes()))
         yield pd.DataFrame(rows, columns=["c", "n", "words"])
+        give_back()
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def names_of(texts: pd.Series) -> pd.Series:
+    give_back()
     return pd.Series([np.unique(shingle_hashes(t, WORDS)).view(np.int64) for t in texts])
 
 
