@@ -83,7 +83,18 @@ def give_back() -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-_FOLDERS: list[str] = []
+_FOLDERS: set[str] = set()
+
+
+def stored_at(df: DataFrame) -> tuple[str, DataFrame]:
+    """Write ``df`` as Parquet below the shared folder; its path, to ``remove``, and the table read back."""
+    spark = df.sparkSession
+    path = work_dir(spark, "stored")
+    if not _FOLDERS:
+        atexit.register(_remove_all, spark)
+    _FOLDERS.add(path)
+    df.write.parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -92,19 +103,18 @@ def stored(df: DataFrame) -> DataFrame:
     For loops: unlike a checkpoint the result has sizes of its own, so estimates
     don't multiply from round to round. The folders go when the driver ends.
     """
-    spark = df.sparkSession
-    path = work_dir(spark, "stored")
-    if not _FOLDERS:
-        atexit.register(_remove_all, spark)
-    _FOLDERS.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_at(df)[1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``stored_at`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _FOLDERS.discard(path)
 
 
 def _remove_all(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
-    for path in _FOLDERS:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
+    for path in list(_FOLDERS):
+        remove(spark, path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, media, mixing, pieces, pii, quality_crf, simhash, url_filter, warc
+from . import exact_dedup, line_dedup, media, mixing, pieces, pii, quality_crf, resample, sharding, simhash, url_filter, vector_codes, warc
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("row.doc_id", "ids", "n_pieces", "decoded_sha256", "lossless")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_pieces": op10_pieces,
+    "op11_sharding": op11_sharding,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +91,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_warc": warc.ORACLE,
+    "op11_sharding": sharding.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_resampling": resample.ORACLE,
 }
