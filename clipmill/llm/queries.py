@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import exact_dedup, line_dedup, media, mixing, pieces, pii, quality_crf, resample, sharding, simhash, url_filter, vector_codes, warc
 from .common import table
 
@@ -20,7 +21,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(table(spark, sf_dir, "documents"))
+    return media.text_media(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,18 +44,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.digest(pii.find_pii(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
     scored = quality_crf.score(docs, model)
     return scored.select("row.doc_id", quality_crf.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= quality_crf.CUTOFF).cast("int").alias("predicted"))
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = pieces.round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return both.select("row.doc_id", "ids", "n_pieces", "decoded_sha256", "lossless")
 
 
