@@ -140,7 +140,7 @@ class Collection:
         docs = filters.captured(s.read("documents")).select("id", strip_source_suffix(F.col("source_title")).alias("title"))
         texts = worklists.joined_bodies(s.read("entries")).withColumnRenamed("document_id", "id")
         whole = docs.join(texts, "id")
-        relations, queue = neardup.scan_links(neardup.exact_pairs(whole, title="title"), whole, s.read("document_relations"), decisions)
+        relations, queue = neardup.scan(whole, s.read("document_relations"), decisions, title="title")
         relations = durable(relations)
         if relations.limit(1).count():
             s.upsert("document_relations", with_ids(relations, s.top_id("document_relations"), ["from_document_id", "to_document_id"]))

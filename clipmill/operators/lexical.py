@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 from ..functions.text import search_tokens
 from .filters import Filters, author_like, dates, without_tags
 
+if TYPE_CHECKING:
+    from .text_index import TextIndex
+
 # Ranking constants, size of the hit list and of a snippet.
 K1, B, IDF_FLOOR, HITS, SNIPPET = 1.2, 0.75, 1e-6, 200, 12
 
@@ -76,6 +80,20 @@ def search(chunks: DataFrame, index: DataFrame, sizes: DataFrame, tags: DataFram
     return hits.orderBy("rank", "chunk_id").limit(most)
 
 
+def search_index(chunks: DataFrame, index: TextIndex, tags: DataFrame, query: str, filters: Filters | None = None, most: int = HITS) -> DataFrame:
+    """``search`` over a stored index: texts are read for the ``most`` hits alone."""
+    filters = filters or Filters()
+    shown = chunks.drop("body")
+    if filters.author:
+        shown = shown.filter(author_like(F.col("author"), filters.author))
+    if filters.project:
+        shown = shown.filter(F.col("project") == filters.project)
+    shown = without_tags(dates(shown, filters), tags, filters.excluded_tags)
+    hits = index.search(query, most, shown if filters.project or filters.any_after_search else None)
+    ids = [r.chunk_id for r in hits.select("chunk_id").collect()]  # ``most`` at most
+    return chunks.filter(F.col("chunk_id").isin(*ids) if ids else F.lit(False)).join(F.broadcast(hits), "chunk_id").orderBy("rank", "chunk_id")
+
+
 def snippets(hits: DataFrame, query: str, body: str = "body") -> DataFrame:
     """``hits`` with ``snippet``: the twelve tokens with most distinct terms, terms in marks \\x02 \\x03, cuts as \\x01."""
     terms = tuple(fold_query(query))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ..session import durable, stored
 
 DAY_MICROS = 86_400_000_000
 WINDOW_DAYS = 180
+MOST_EDGES = 1 << 20  # of a component that one task walks
+CELL_BITS = 10  # ranges of ids that a class is cut into: a thousand
 
 
 def classes(docs: DataFrame, text: str = "text", title: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -18,52 +23,76 @@ def classes(docs: DataFrame, text: str = "text", title: str | None = None) -> tu
     ``sets`` is (id, title, names) of the named ones; ``members`` is (id, rep, n) of
     all. Copies then cost one row each, however many there are.
     """
-    named = S.with_shingles(docs.select("id", F.col(text).alias("text"), (F.coalesce(F.col(title), F.lit("")) if title else F.lit("")).alias("title")))
-    rows = stored(named.select("id", "title", F.array_sort(S.shingle_set(F.col("shingles"))).alias("names")))
-    key = rows.select("id", "title", F.xxhash64("names").alias("h"), F.md5(F.array_join(F.transform("names", lambda x: x.cast("string")), ",")).alias("m"), F.size("names").alias("n"))
-    key = stored(key)
+    named = S.with_names(docs.select("id", F.col(text).alias("text"), (F.coalesce(F.col(title), F.lit("")) if title else F.lit("")).alias("title")))
+    rows = stored(named.select("id", "title", "names", F.xxhash64("names").alias("h"), F.xxhash64(F.lit(7), "names").alias("m"), F.size("names").alias("n")))
     on = ["title", "h", "m", "n"]
-    reps = stored(key.groupBy(*on).agg(F.min("id").alias("rep")))
-    members = stored(key.join(reps, on).select("id", "rep", "n"))
-    sets = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = stored(rows.groupBy(*on).agg(F.min("id").alias("rep")))
+    members = stored(rows.select("id", *on).join(reps, on).select("id", "rep", "n"))
+    sets = rows.select("id", "title", "names").join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     return sets, members
 
 
 def ranked_sets(sets: DataFrame) -> DataFrame:
-    """(id, title, n, rare): each set with the rarest shingles first."""
-    rows = sets.select("id", "title", F.explode("names").alias("s"))
+    """(id, title, n, alone, rare): the names of shingles that others have too, from the rarest on, and how many nobody else has.
+
+    What occurs once can't be shared: it only counts, and is neither joined nor sorted.
+    """
+    rows = sets.select("id", F.explode("names").alias("s"))
     often = stored(rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
-    # What occurs once can't be shared, but it fills the prefix: it ranks first with df 1.
-    joined = rows.join(often, "s", "left").select("id", "title", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("x"))
-    return stored(joined.groupBy("id", "title").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("rare")).withColumn("n", F.size("rare")))
+    shared = rows.join(often, "s").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "s"))), lambda x: x["s"]).alias("rare"))
+    joined = sets.select("id", "title", F.size("names").alias("n")).join(shared, "id")
+    return stored(joined.withColumn("alone", F.col("n") - F.size("rare")))
 
 
 def prefix(sets: DataFrame, share: float | None, least: int | None = None) -> DataFrame:
-    """Rows (id, n, title, s) of the rarest shingles: two sets with enough in common must meet in them."""
+    """Rows (id, n, title, s, k, left) of the rarest shingles: two sets with enough in common must meet in them.
+
+    ``k`` shared shingles stand before s, ``left`` after it. The rarest of all are
+    those that nobody else has, so they use up the prefix first.
+    """
     need = F.ceil(F.col("n") * share).cast("int") if share is not None else F.lit(least)
     rows = sets.filter(F.col("n") >= need) if least else sets
-    return rows.select("id", "n", "title", F.explode(F.slice("rare", F.lit(1), F.col("n") - F.greatest(need, F.lit(1)) + 1)).alias("s"))
+    length = F.greatest(F.lit(0), F.col("n") - F.greatest(need, F.lit(1)) + 1 - F.col("alone"))
+    return placed(rows, F.slice("rare", F.lit(1), length))
+
+
+def placed(sets: DataFrame, shingles: Column) -> DataFrame:
+    at = sets.select("id", "n", "title", F.size("rare").alias("all"), F.posexplode(shingles).alias("k", "s"))
+    return at.select("id", "n", "title", "s", "k", (F.col("all") - F.col("k") - 1).alias("left"))
+
+
+def meeting(left: DataFrame, right: DataFrame, on: list[str], need: Column) -> DataFrame:
+    """Pairs (a, b), a < b, that meet and may still share ``need`` shingles.
+
+    What two sets share is no more than stands before the meeting place in both,
+    the place itself, and what comes after it in both; ``need`` is over the sizes
+    ``n`` and ``o`` of the two sides. It also bounds the lengths.
+    """
+    b = right.select(F.col("id").alias("y"), F.col("n").alias("o"), F.col("k").alias("l"), F.col("left").alias("right"), *on)
+    most = F.least("k", "l") + 1 + F.least("left", "right")
+    return left.join(b, on).filter((F.col("id") != F.col("y")) & (most >= need)).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
 
 
-def meeting(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of documents that meet."""
-    a = left.select(F.col("id").alias("x"), F.col("n").alias("nx"), *on)
-    b = right.select(F.col("id").alias("y"), F.col("n").alias("ny"), *on)
-    return a.join(b, on).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "nx", "ny")
+def at_least(share: float) -> Column:
+    """What two sets of sizes n and o share if their similarity is ``share``; a little less, for rounding."""
+    return F.ceil((F.col("n") + F.col("o")) * (share / (1 + share)) - 1e-9)
 
 
 def candidates(sets: DataFrame, title_route: bool) -> DataFrame:
     """All pairs that may have a verdict, without a loss: each rule's bound on what is shared sets the prefix it needs."""
     half = prefix(sets, S.GRAY)
-    found = meeting(half, half, ["s"]).select("a", "b")
-    small = prefix(sets.filter(F.col("n") >= S.LEAST_SIZE), S.CONTAINED)
-    every = sets.select("id", "n", "title", F.explode("rare").alias("s"))
-    found = found.unionByName(meeting(small, every, ["s"]).filter("nx <= ny").select("a", "b"))
+    found = meeting(half, half.filter("n > 0"), ["s"], at_least(S.GRAY))
+    sized = sets.filter(F.col("n") >= S.LEAST_SIZE)
+    small, every = prefix(sized, S.CONTAINED), placed(sized, F.col("rare"))
+    # The smaller set lies in the larger one; where their sizes are nearer, that makes them similar enough for the rule before.
+    smaller = F.col("n") <= F.col("o") * (S.GRAY / (S.CONTAINED * (1 + S.GRAY) - S.GRAY)) + 1
+    contained = F.when(smaller, F.ceil(F.col("n") * S.CONTAINED - 1e-9)).otherwise(F.col("n") + F.col("o"))
+    found = found.unionByName(meeting(small, every, ["s"], contained))
     large = prefix(sets, None, S.BLOCK_WORDS - 2)
-    found = found.unionByName(meeting(large, large, ["s"]).select("a", "b"))
+    found = found.unionByName(meeting(large, large, ["s"], F.lit(S.BLOCK_WORDS - 2)))
     if title_route:
         titled = prefix(sets.filter("title <> ''"), S.TITLE)
-        found = found.unionByName(meeting(titled, titled, ["s", "title"]).select("a", "b"))
+        found = found.unionByName(meeting(titled, titled, ["s", "title"], at_least(S.TITLE)))
     return found.distinct()
 
 
@@ -76,9 +105,9 @@ def class_pairs(docs: DataFrame, text: str = "text", title: str | None = None) -
     found, members = classes(docs, text, title)
     sets = ranked_sets(found)
     pairs = stored(candidates(sets, title is not None))
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("rare").alias(f"set_{s}"), F.col("title").alias(f"title_{s}"))
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("rare").alias(f"set_{s}"), F.col("n").alias(f"n_{s}"), F.col("title").alias(f"title_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    counted = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), ((F.col("title_a") == F.col("title_b")) & (F.col("title_a") != "")).alias("same_title"))
+    counted = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("shared"), "n_a", "n_b", ((F.col("title_a") == F.col("title_b")) & (F.col("title_a") != "")).alias("same_title"))
     return judged(counted), members
 
 
@@ -86,16 +115,21 @@ def exact_pairs(docs: DataFrame, text: str = "text", title: str | None = None) -
     """All pairs a < b of documents with a verdict: shared, n_a, n_b, jaccard, containment, same_title, verdict.
 
     Spells out the copies of each class; families don't need that and take
-    ``family_edges``.
+    ``family_edges``, scans take ``class_pairs``.
     """
     pairs, members = class_pairs(docs, text, title)
+    return spelled_out(pairs, members, title is not None)
+
+
+def spelled_out(pairs: DataFrame, members: DataFrame, titled: bool) -> DataFrame:
+    """Pairs of classes as pairs of their members, and the pairs inside classes."""
     pairs = stored(pairs)
     of = lambda s: members.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"))
     turned = F.col("id_a") > F.col("id_b")
     pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
     across = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "shared", pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "same_title", "jaccard", "containment", "verdict")
     twins = members.filter("n > 0").select(F.col("id").alias("a"), "rep", "n").join(members.select(F.col("id").alias("b"), "rep"), "rep").filter("a < b")
-    alike = judged(twins.select("a", "b", F.col("n").alias("shared"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(title is not None).alias("same_title")))
+    alike = judged(twins.select("a", "b", F.col("n").alias("shared"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(titled).alias("same_title")))
     return across.select(*alike.columns).unionByName(alike)
 
 
@@ -165,27 +199,120 @@ def predecessor(cases: DataFrame) -> DataFrame:
     return cases.join(chosen, ["new_id", "old_id"], "left_semi")
 
 
-def spanning_forest(pairs: DataFrame, old_links: DataFrame) -> DataFrame:
+def spanning_forest(pairs: DataFrame, old_links: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """The pairs (a, b, ...) that join documents not joined before, when taken by b ascending, then a descending.
 
-    Rounds of Boruvka: every component takes its first pair that leads out of it,
-    so the number of rounds is logarithmic and no pair list reaches the driver.
+    A component's forest doesn't depend on the others. Components of up to ``most``
+    edges are each walked in their order by one task; larger ones take rounds of
+    Boruvka in which every part takes its first edge that leads out of it, and parts
+    that met are contracted, so each round works on the contracted graph alone.
     """
     from .families import components
 
-    pairs, taken = durable(pairs), None
-    links = old_links.select("a", "b")
-    while True:
-        of = components(links)
-        label = lambda s, of=of: of.select(F.col("document_id").alias(s), F.col("family").alias(f"f{s}"))
-        named = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").withColumn("fa", F.coalesce("fa", "a")).withColumn("fb", F.coalesce("fb", "b"))
-        out = durable(named.filter("fa <> fb"))
-        if not out.limit(1).count():
-            return pairs.join(taken, ["a", "b"], "left_semi") if taken is not None else pairs.limit(0)
-        ends = out.select("a", "b", F.explode(F.array("fa", "fb")).alias("f"))
-        first = ends.groupBy("f").agg(F.min(F.struct("b", (-F.col("a")).alias("back"))).alias("e")).select((-F.col("e.back")).alias("a"), F.col("e.b").alias("b")).distinct()
-        taken = durable(first if taken is None else taken.unionByName(first).distinct())
-        links = old_links.select("a", "b").unionByName(taken)
+    edges = pairs.select("b", (-F.col("a")).alias("back"), F.lit(1).alias("turn")).unionByName(old_links.select(F.col("b"), (-F.col("a")).alias("back"), F.lit(0).alias("turn"))).distinct()
+    edges = durable(edges.select("turn", "b", "back", (-F.col("back")).alias("a")))
+    if edges.count() <= most:
+        return pairs.join(edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(walked, "a long, b long"), ["a", "b"], "left_semi")
+    family = components(edges.select("a", "b"))
+    named = stored(edges.join(family.select(F.col("document_id").alias("a"), "family"), "a"))
+    large = named.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("family")
+    large = durable(large)  # at most one in ``most`` edges names one
+    taken = named.join(large, "family", "left_anti").groupBy("family").applyInPandas(walked, "a long, b long")
+    rest = named.join(large, "family", "left_semi").drop("family")
+    if large.limit(1).count():
+        taken = taken.unionByName(contracted(rest))
+    return pairs.join(taken, ["a", "b"], "left_semi")
+
+
+def walked(edges: pd.DataFrame) -> pd.DataFrame:
+    """The edges of one component that join two parts, taken in order; those of turn 0 come first and aren't told."""
+    edges = edges.sort_values(["turn", "b", "back"], kind="stable")
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    kept = []
+    for turn, a, b in zip(edges["turn"].tolist(), edges["a"].tolist(), edges["b"].tolist(), strict=True):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[x] = y
+            if turn:
+                kept.append((a, b))
+    return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Boruvka over edges (turn, b, back, a): the taken ones of turn 1 as (a, b)."""
+    from .families import components
+
+    key = F.struct("turn", "b", "back", "a")
+    graph = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y"), key.alias("e")))
+    taken = []
+    while graph.limit(1).count():
+        ends = graph.select(F.explode(F.array("x", "y")).alias("part"), "x", "y", "e")
+        first = stored(ends.groupBy("part").agg(F.min(F.struct("e", "x", "y")).alias("m")).select("m.*").distinct())
+        taken.append(first.select("e.*").filter("turn = 1").select("a", "b"))
+        met = components(first.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        of = lambda s, met=met: met.select(F.col("document_id").alias(s), F.col("family").alias(f"f{s}"))
+        inner = graph.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("fx", "x").alias("x"), F.coalesce("fy", "y").alias("y"), "e").filter("x <> y")
+        # Of edges between the same two parts only the first can be taken.
+        graph = stored(inner.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e")))
+    return functools.reduce(DataFrame.unionByName, taken).distinct()
+
+
+def nearest_before(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (key, id, asks, gives) that ask, with ``a``: the largest smaller id of the key that gives.
+
+    A key's rows are cut into ranges of ids; each range is put in order by itself and
+    takes what the ranges before it hold, so no task sees a whole key.
+    """
+    top = rows.agg(F.max("id")).first()[0] or 0
+    rows = rows.withColumn("cell", F.shiftright("id", max(0, int(top).bit_length() - CELL_BITS)))
+    given = F.max(F.when(F.col("gives"), F.col("id")))
+    inside = given.over(Window.partitionBy(*key, "cell").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    cells = rows.groupBy(*key, "cell").agg(given.alias("last"))
+    carried = F.max("last").over(Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    asked = rows.withColumn("inside", inside).filter("asks").join(cells.withColumn("carried", carried).drop("last"), [*key, "cell"])
+    return asked.withColumn("a", F.coalesce("inside", "carried")).filter("a IS NOT NULL").drop("inside", "carried", "cell", "asks", "gives")
+
+
+def visiting_pairs(pairs: DataFrame, members: DataFrame, kept: DataFrame) -> DataFrame:
+    """Automatic pairs (a, b, jaccard) that hold the forest of all such pairs of the members.
+
+    Members of a class are alike, so those before b are joined already when b is
+    visited: of each class that b's class is linked to, and of its own, the last
+    member before b is enough. That is a row per member and linked class. Documents
+    of ``kept`` (id), which somebody has told apart from others, get all their pairs.
+    """
+    auto = pairs.filter("verdict = 'auto'").select("a", "b", "jaccard")
+    own = members.filter("n > 0").groupBy("rep").agg(F.count("*").alias("copies")).filter("copies > 1")
+    links = stored(auto.unionByName(auto.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")).unionByName(own.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard"))))
+    plain = members.join(kept.select("id"), "id", "left_anti").select("rep", "id")
+    side = lambda s, asks: links.join(plain.withColumnRenamed("rep", s), s).withColumn("asks", F.lit(asks)).withColumn("gives", F.lit(not asks))
+    rows = side("b", True).unionByName(side("a", False)).withColumnRenamed("a", "x").withColumnRenamed("b", "y")
+    rows = stored(rows.groupBy("x", "y", "id").agg(F.first("jaccard").alias("jaccard"), F.max("asks").alias("asks"), F.max("gives").alias("gives")))
+    found = nearest_before(rows, ["x", "y"]).select("a", F.col("id").alias("b"), "jaccard")
+    told = members.join(kept.select("id").distinct(), "id").select(F.col("rep").alias("a"), F.col("id").alias("p"))
+    every = links.join(told, "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("q")), "b").filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "jaccard")
+    return found.unionByName(every).distinct()
+
+
+def scan(docs: DataFrame, related: DataFrame, decisions: DataFrame | None = None, text: str = "text", title: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``scan_links`` of all documents, with copies as members of their classes: only pairs that need a human are spelled out."""
+    pairs, members = class_pairs(docs, text, title)
+    pairs, members = stored(pairs), stored(members)
+    asked = spelled_out(pairs.filter("verdict <> 'auto'"), members, title is not None).filter("verdict <> 'auto'")
+    kept = related.filter("resolution <> 'superseded'").select(F.explode(F.array("from_document_id", "to_document_id")).alias("id"))
+    linked = visiting_pairs(pairs, members, kept).withColumn("verdict", F.lit("auto"))
+    rest = [c for c in asked.columns if c not in linked.columns]
+    both = asked.unionByName(linked.select("*", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in rest]))
+    return scan_links(both, docs.select("id", F.col(text).alias("text")), related, decisions)
 
 
 def scan_links(pairs: DataFrame, docs: DataFrame, related: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import Filters, author_contains, dates, without_tags
 
+if TYPE_CHECKING:
+    from .vector_index import VectorIndex
+
 OVERFETCH = 5
 
 
@@ -32,12 +37,13 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "id") -> D
     return scored.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-def search(chunks: DataFrame, vectors: DataFrame, tags: DataFrame, query: list[float], limit: int, filters: Filters | None = None, mode: str = "overfetch") -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, tags: DataFrame, query: list[float], limit: int, filters: Filters | None = None, mode: str = "overfetch", index: VectorIndex | None = None) -> DataFrame:
     """Nearest chunks with their columns.
 
     ``overfetch``: k nearest first (five times as many with a filter), then the
     filters, so fewer than ``limit`` may stay. ``exact``, and any search in a
-    project, filters first and ranks what is left.
+    project, filters first and ranks what is left. With ``index`` the nearest come
+    from it; filters that go first then hide all other ids from it.
     """
     filters = filters or Filters()
 
@@ -47,10 +53,13 @@ def search(chunks: DataFrame, vectors: DataFrame, tags: DataFrame, query: list[f
 
     if filters.project or mode == "exact":
         kept = after(chunks.filter(F.col("project") == filters.project) if filters.project else chunks)
+        if index is not None:
+            near = index.search(query, limit * OVERFETCH, allowed=kept.select(F.col("chunk_id").alias("id"))).withColumnRenamed("id", "chunk_id")
+            return suppress_overlaps(kept.join(F.broadcast(near), "chunk_id")).orderBy(F.desc("similarity"), "chunk_id").limit(limit)  # overlaps cost at most some of the rows fetched beyond the limit
         hits = kept.join(vectors.select(F.col("id").alias("chunk_id"), "embedding"), "chunk_id").withColumn("similarity", cosine(F.col("embedding"), vector(query))).drop("embedding")
     else:
         k = limit * OVERFETCH if filters.any_after_search else limit
-        near = knn(vectors, query, k).withColumnRenamed("id", "chunk_id")
+        near = (knn(vectors, query, k) if index is None else index.search(query, k)).withColumnRenamed("id", "chunk_id")
         hits = after(chunks.join(F.broadcast(near), "chunk_id"))  # k rows
     return suppress_overlaps(hits).orderBy(F.desc("similarity"), "chunk_id").limit(limit)
 

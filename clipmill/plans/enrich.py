@@ -67,7 +67,7 @@ def extract(store: Store, backend: Backend, models: Models, skip_types: tuple[st
     made = asked.select(F.col("id").alias("document_id"), "author", F.posexplode(claims(F.col("answer"))).alias("n", "content"))
     fresh = with_ids(durable(made), store.top_id("claims"), ["document_id", "n"])
     done = asked.select(F.col("id").alias("document_id"))
-    store.write("claims", store.read("claims").join(done, "document_id", "left_anti"))
+    store.delete("claims", done, ["document_id"])
     store.clean()
     store.append("claims", fresh.withColumn("model", F.lit(model)).withColumn("prompt_hash", F.lit(key)).withColumn("created_at", now()))
     return fresh.count()

@@ -72,9 +72,32 @@ def add_children(store: Store, entries: DataFrame) -> None:
 
 
 def recompute(store: Store) -> None:
-    """Supersession tags of all families."""
+    """Families and their supersession tags, all anew."""
+    tagged = store.version("document_tags")
     found = durable(families.families(store.read("document_relations"), store.read("documents")))
-    store.write("document_tags", families.repaired_tags(store.read("document_tags"), found))
+    store.write("document_families", found.select("document_id", "family"))
+    store.write("document_tags", families.repaired_tags(store.read("document_tags"), found), after=tagged)
+
+
+def relate(store: Store, links: DataFrame, dated: DataFrame | None = None) -> None:
+    """Families after new superseded links (a, b) and after new dates of documents (id): only those touched are written."""
+    if not store.exists("document_families"):
+        return recompute(store)
+    if dated is not None:
+        links = links.unionByName(store.pick("document_families", dated.select(F.col("id").alias("document_id"))).select(F.col("document_id").alias("a"), F.col("family").alias("b")))
+    members = durable(families.merged(store.read("document_families"), links))
+    if not members.limit(1).count():
+        return
+    store.upsert("document_families", members)
+    found = families.with_current(members, store.pick("documents", members.select(F.col("document_id").alias("id"))))
+    wanted = durable(families.superseded_tags(found))
+    ids = members.select("document_id", F.lit("superseded").alias("tag"))
+    there = durable(store.pick("document_tags", ids))
+    stale, fresh = there.join(wanted, ["document_id", "tag"], "left_anti"), wanted.join(there, ["document_id", "tag"], "left_anti")
+    if stale.limit(1).count():
+        store.delete("document_tags", stale)
+    if fresh.limit(1).count():
+        store.append("document_tags", fresh)
 
 
 def ingest(store: Store, batch: DataFrame, types: tuple[DocType, ...] = BUILT_IN, own: dict[str, Parser] | None = None, force: bool = False, on_gray: str = "queue", now: str | None = None, tidy: bool = False) -> DataFrame:
@@ -132,6 +155,7 @@ def take(store: Store, fresh: DataFrame, entries: DataFrame, on_gray: str) -> Da
         add_children(store, rows)
         dates = rows.groupBy(F.col("document_id").alias("id")).agg(F.max(F.struct("clip_date", "clip_date_source")).alias("d"))
         store.update("documents", dates.select("id", "d.clip_date", "d.clip_date_source"))
+        relate(store, store.spark.createDataFrame([], "a long, b long"), dates.select("id"))
 
     kept = fresh.join(hits.select("path").distinct(), "path", "left_anti")
     bodies = entries.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "body"))), lambda x: x["body"]), "\n").alias("joined"), F.min_by("heading_title", F.when(F.col("heading_title").isNotNull(), F.col("position"))).alias("title"))
@@ -153,8 +177,9 @@ def take(store: Store, fresh: DataFrame, entries: DataFrame, on_gray: str) -> Da
     links = decided.withColumn("resolution", resolution).filter("resolution IS NOT NULL")
     relations = links.select(F.col("new_id").alias("from_document_id"), F.col("old_id").alias("to_document_id"), F.lit("near_duplicate").alias("relation"), "similarity", "shared_block_words", "resolution")
     if relations.limit(1).count():
-        store.upsert("document_relations", with_ids(durable(relations), store.top_id("document_relations"), ["from_document_id", "to_document_id"]))
-        recompute(store)
+        relations = durable(relations)
+        store.upsert("document_relations", with_ids(relations, store.top_id("document_relations"), ["from_document_id", "to_document_id"]))
+        relate(store, families.superseded_edges(relations))
     return decided.filter("resolution = 'review'")
 
 

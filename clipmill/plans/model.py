@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -21,7 +23,7 @@ def days_after(column: str, days: int = 7) -> F.Column:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Captured documents: one entry each, source and language as title."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang").alias("source_title"), F.col("lang").alias("doctype_name"), F.lit("none").alias("merge_strategy"), hours_after("doc_id").alias("clip_date"), "text", "source")
 
 

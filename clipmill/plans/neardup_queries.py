@@ -163,12 +163,12 @@ def kept_both_conflicts(spark, sf):
 
 def review_queue(spark, sf):
     none = spark.createDataFrame([], "from_document_id long, to_document_id long, resolution string")
-    return neardup.scan_links(pairs(spark, sf), docs(spark, sf), none)[1].select("a", "b", "verdict")
+    return neardup.scan(docs(spark, sf), none)[1].select("a", "b", "verdict")
 
 
 def scan_forest(spark, sf):
     none = spark.createDataFrame([], "from_document_id long, to_document_id long, resolution string")
-    return neardup.scan_links(pairs(spark, sf), docs(spark, sf), none)[0]
+    return neardup.scan(docs(spark, sf), none)[0].withColumn("similarity", F.round("similarity", 9))
 
 
 def thread_sides(spark, sf):
@@ -250,6 +250,16 @@ isl AS (SELECT a, b, x - y AS d, x - row_number() OVER (PARTITION BY a, b, x - y
 blocks AS (SELECT a, b FROM runs GROUP BY a, b HAVING max(n) + 2 >= 300)
 SELECT p.a, p.b, verdict FROM plain p LEFT JOIN members x ON x.document_id = p.a LEFT JOIN members y ON y.document_id = p.b LEFT JOIN blocks k ON k.a = p.a AND k.b = p.b
 WHERE (verdict = 'prompt' OR (verdict = 'prompt_if_block' AND k.a IS NOT NULL)) AND (x.family IS NULL OR y.family IS NULL OR x.family <> y.family)""",
+    "scan_forest": f"""WITH RECURSIVE {PAIRS}, e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY b, a DESC) AS i, a, b, j FROM plain WHERE verdict = 'auto'),
+nodes AS (SELECT a AS node FROM e UNION SELECT b FROM e),
+steps AS (SELECT 0::BIGINT AS i, node, node AS part, node AS x, node AS y FROM nodes
+  UNION ALL SELECT i, node, CASE WHEN part = y THEN x ELSE part END, x, y FROM (
+    SELECT s.i + 1 AS i, node, part, max(CASE WHEN node = e.a THEN part END) OVER () AS x, max(CASE WHEN node = e.b THEN part END) OVER () AS y FROM steps s JOIN e ON e.i = s.i + 1))
+SELECT b AS from_document_id, a AS to_document_id, 'near_duplicate' AS relation, round(j, 9) AS similarity, 'superseded' AS resolution
+FROM e JOIN (SELECT DISTINCT i FROM steps WHERE i > 0 AND x <> y) t USING (i)""",
+    "minhash_md5_signature": f"WITH {SETS} SELECT doc_id, lane::INTEGER AS lane, min(md5(lane || ':' || s)) AS low FROM sh, range(128) r(lane) GROUP BY doc_id, lane",
+    "minhash_jaccard": f"""WITH {PAIRS}, low AS (SELECT doc_id, lane, min(md5(lane || ':' || s)) AS low FROM sh, range(128) r(lane) GROUP BY doc_id, lane)
+SELECT a, b, count_if(x.low = y.low) / 128 AS estimate FROM plain JOIN low x ON x.doc_id = a JOIN low y ON y.doc_id = b AND y.lane = x.lane WHERE verdict <> 'none' GROUP BY a, b""",
     "thread_overlap": f"WITH {SIDES} SELECT conv_id AS document_id, new_start, run_length, run_bytes FROM best",
     "positional_merge": f"WITH {SIDES}, top AS (SELECT conv_id, max(p) AS top FROM stored GROUP BY conv_id) SELECT n.conv_id AS document_id, top + 1 + q - (new_start + run_length) AS position, role AS author, text AS body FROM new n JOIN best b USING (conv_id) JOIN top USING (conv_id) WHERE q >= new_start + run_length",
     "same_author_runs": """WITH t AS (SELECT conv_id AS document_id, turn, CASE WHEN turn % 4 < 2 THEN role ELSE 'user' END AS author, text FROM conversations),

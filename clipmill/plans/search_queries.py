@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippets_similar
 from ..operators import filters, grouping, lexical, listing, vector, worklists
+from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
+from ..session import scratch
 from ..sources.config import Tags
 from . import model as m
 
@@ -118,6 +121,26 @@ def fts_filters(spark, sf):
     return lexical.search(turns, index, sizes, m.tags(spark, sf), QUERY, WANTED).select("chunk_id", F.round("rank", 9).alias("rank"))
 
 
+def text_index(spark, sf):
+    """All turns in an index of two segments, of which one replaces the turns of role user that the first holds too."""
+    index, turns = TextIndex(spark, scratch(spark, "text-index")), m.turns(spark, sf)
+    index.add(turns)
+    again = turns.filter("author = 'user'")
+    index.remove(again)
+    index.add(again)
+    return turns, index
+
+
+def fts_index_topk(spark, sf):
+    turns, index = text_index(spark, sf)
+    return lexical.search_index(turns, index, m.tags(spark, sf), QUERY).select("chunk_id", "document_id", F.round("rank", 9).alias("rank"))
+
+
+def fts_index_filters(spark, sf):
+    turns, index = text_index(spark, sf)
+    return lexical.search_index(turns, index, m.tags(spark, sf), QUERY, WANTED).select("chunk_id", F.round("rank", 9).alias("rank"))
+
+
 def fts_grouped(spark, sf):
     turns, index, sizes = index_of(spark, sf)
     hits = lexical.search(turns, index, sizes, m.tags(spark, sf), QUERY).withColumn("snippet", F.col("body")).withColumn("chunk_body", F.col("body"))
@@ -139,6 +162,30 @@ def knn_topk(spark, sf):
     return vector.knn(m.vectors(spark, sf), probe(spark, sf), 10).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+def vector_index(spark, sf):
+    return VectorIndex.build(m.vectors(spark, sf), scratch(spark, "vector-index"))
+
+
+def knn_index(spark, sf):
+    """The index with all lists probed: the exact result from codes and the vectors that they leave open."""
+    index = vector_index(spark, sf)
+    return index.search(probe(spark, sf), 10, probes=len(index.ids)).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+def knn_index_batch(spark, sf):
+    """The ten nearest of every hundredth vector, all in one search."""
+    index = vector_index(spark, sf)
+    asked = [(r.id, r.embedding) for r in m.vectors(spark, sf).filter("id % 100 = 0").orderBy("id").collect()]
+    return index.search_many(asked, 10, probes=len(index.ids)).select("query", "id", F.round("similarity", 6).alias("similarity"))
+
+
+def knn_index_allowed(spark, sf):
+    """The nearest among the vectors of documents that aren't hidden."""
+    index = vector_index(spark, sf)
+    shown = filters.without_tags(m.vectors(spark, sf).select("id"), m.tags(spark, sf), ("junk", "archived"), "id")
+    return index.search(probe(spark, sf), 10, probes=len(index.ids), allowed=shown).select("id", F.round("similarity", 6).alias("similarity"))
+
+
 def knn_overfetch(spark, sf):
     hits = vector.search(m.vector_chunks(spark, sf), m.vectors(spark, sf), m.tags(spark, sf), probe(spark, sf), 10, NEAR)
     return hits.select("chunk_id", "author", F.round("similarity", 6).alias("similarity"))
@@ -185,11 +232,16 @@ QUERIES = {
     f.__name__: f
     for f in (
         stats_counts, derive_status, extraction_status, list_documents, dump_filtered, document_nested, tag_counts, tag_exclusion, tag_expansion, global_filter, fts_prefix_hits, fts_bm25_topk,
-        fts_filters, fts_grouped, fts_snippets, hit_numbers, term_frequencies, knn_topk, knn_overfetch, knn_project, knn_grouped, chunk_nms, claims_topk, similar_turns,
+        fts_filters, fts_index_topk, fts_index_filters, fts_grouped, fts_snippets, hit_numbers, term_frequencies, knn_topk, knn_index, knn_index_batch, knn_index_allowed, knn_overfetch, knn_project, knn_grouped, chunk_nms, claims_topk, similar_turns,
     )
 }
 
+FTS_TOP = f"WITH {BM25} SELECT chunk_id, document_id, round(rank, 9) AS rank FROM ranked JOIN turns USING (chunk_id) ORDER BY ranked.rank, chunk_id LIMIT 200"
+FTS_FILTERED = f"WITH {TAG_ROWS}, {BM25} SELECT chunk_id, round(rank, 9) AS rank FROM ranked JOIN turns USING (chunk_id) WHERE author ILIKE '%USER%' AND clip_date >= '2024-01-01 10:00:00' AND clip_date <= '2024-01-20' AND project = 'p1' AND NOT EXISTS (SELECT 1 FROM tags t WHERE t.document_id = turns.document_id AND tag = 'junk') ORDER BY ranked.rank, chunk_id LIMIT 200"
+
 ORACLE = {
+    "fts_index_topk": FTS_TOP,
+    "fts_index_filters": FTS_FILTERED,
     "stats_counts": f"WITH {TAG_ROWS} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations) AS entries, (SELECT count(*) FROM embeddings) AS embeddings, (SELECT count(*) FROM tags) AS tags",
     "derive_status": "SELECT (SELECT count(*) FROM documents) AS total_documents, count_if(quality = 1)::BIGINT AS detailed_ok, count_if(quality <> 1)::BIGINT AS detailed_bad, count_if(toxic = 0)::BIGINT AS brief_ok, count_if(toxic <> 0)::BIGINT AS brief_bad, 0::BIGINT AS detailed_stale FROM labels",
     "extraction_status": "SELECT (SELECT count(*) FROM documents) AS total, count(DISTINCT conv_id) AS with_claims, count(*) AS claims, (SELECT count(*) FROM documents) - count(DISTINCT conv_id) AS missing FROM conversations WHERE role = 'user'",
@@ -204,11 +256,15 @@ SELECT document_id AS id, source_title, clip_date, entry_count, chunk_count, fir
     "tag_expansion": f"WITH {TAG_ROWS}, {DOCS} SELECT id FROM docs WHERE EXISTS (SELECT 1 FROM tags WHERE document_id = id AND tag IN ('hidden', 'archived', 'junk'))",
     "global_filter": f"WITH {TAG_ROWS}, {DOCS} SELECT id FROM docs WHERE EXISTS (SELECT 1 FROM tags WHERE document_id = id AND tag = 'archived') AND NOT EXISTS (SELECT 1 FROM tags WHERE document_id = id AND tag = 'junk')",
     "fts_prefix_hits": f"WITH {BM25} SELECT chunk_id, q, tf::BIGINT AS tf, dl::INTEGER AS dl FROM hits WHERE tf > 0",
-    "fts_bm25_topk": f"WITH {BM25} SELECT chunk_id, document_id, round(rank, 9) AS rank FROM ranked JOIN turns USING (chunk_id) ORDER BY ranked.rank, chunk_id LIMIT 200",
-    "fts_filters": f"WITH {TAG_ROWS}, {BM25} SELECT chunk_id, round(rank, 9) AS rank FROM ranked JOIN turns USING (chunk_id) WHERE author ILIKE '%USER%' AND clip_date >= '2024-01-01 10:00:00' AND clip_date <= '2024-01-20' AND project = 'p1' AND NOT EXISTS (SELECT 1 FROM tags t WHERE t.document_id = turns.document_id AND tag = 'junk') ORDER BY ranked.rank, chunk_id LIMIT 200",
+    "fts_bm25_topk": FTS_TOP,
+    "fts_filters": FTS_FILTERED,
     "fts_grouped": f"WITH {BM25}, top AS (SELECT * FROM ranked JOIN turns USING (chunk_id) ORDER BY ranked.rank, chunk_id LIMIT 200) SELECT document_id, clip_date, round(min(rank * weight), 9) AS best_rank FROM top GROUP BY document_id, clip_date",
     "term_frequencies": "WITH " + TURNS + r", t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(strip_accents(body)), '[\p{L}\p{N}]+')) AS term FROM turns) SELECT term, count(DISTINCT chunk_id) AS n_chunks, count(*) AS n FROM t GROUP BY term",
     "knn_topk": f"WITH {VECTORS} SELECT vec_id AS id, round(similarity, 6) AS similarity FROM sims ORDER BY sims.similarity DESC, id LIMIT 10",
+    "knn_index": f"WITH {VECTORS} SELECT vec_id AS id, round(similarity, 6) AS similarity FROM sims ORDER BY sims.similarity DESC, id LIMIT 10",
+    "knn_index_batch": """WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0)
+SELECT query, id, round(similarity, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY s.similarity DESC, id) <= 10""",
+    "knn_index_allowed": f"WITH {TAG_ROWS}, {VECTORS} SELECT vec_id AS id, round(similarity, 6) AS similarity FROM sims WHERE NOT EXISTS (SELECT 1 FROM tags WHERE document_id = vec_id) ORDER BY sims.similarity DESC, id LIMIT 10",
     "knn_overfetch": f"WITH {TAG_ROWS}, {VECTORS}, near AS (SELECT * FROM vc ORDER BY similarity DESC, chunk_id LIMIT 50) SELECT chunk_id, author, round(similarity, 6) AS similarity FROM near WHERE contains(lower(author), 'role') AND clip_date <= '2024-01-05' AND NOT EXISTS (SELECT 1 FROM tags t WHERE t.document_id = near.document_id AND tag = 'junk') ORDER BY near.similarity DESC, chunk_id LIMIT 10",
     "knn_project": f"WITH {VECTORS} SELECT chunk_id, round(similarity, 6) AS similarity FROM vc WHERE project = 'p1' ORDER BY vc.similarity DESC, chunk_id LIMIT 10",
     "knn_grouped": f"WITH {VECTORS}, near AS (SELECT * FROM vc ORDER BY similarity DESC, chunk_id LIMIT 50) SELECT document_id, round(min(-similarity * weight), 6) AS best_rank, count(*) AS n_hits FROM near GROUP BY document_id",

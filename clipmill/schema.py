@@ -15,12 +15,13 @@ TABLES = {
     "derived_content": "id long, document_id long, content_type string, content string, model string, source_hash string, quality string, parent_id long, created_at string",
     "claims": "id long, document_id long, entry_id long, author string, content string, model string, prompt_hash string, created_at string",
     "document_relations": "id long, from_document_id long, to_document_id long, relation string, similarity double, shared_block_words int, resolution string, summary string, summary_model string, summary_prompt_hash string, created_at string",
+    "document_families": "document_id long, family long",
     "vec_chunks": "id long, embedding array<float>",
     "vec_claims": "id long, embedding array<float>",
 }
 KEYS = {
     "documents": ["id"], "entries": ["id"], "chunks": ["id"], "document_tags": ["document_id", "tag"], "derived_content": ["document_id", "content_type"],
-    "claims": ["id"], "document_relations": ["from_document_id", "to_document_id"], "vec_chunks": ["id"], "vec_claims": ["id"],
+    "claims": ["id"], "document_relations": ["from_document_id", "to_document_id"], "document_families": ["document_id"], "vec_chunks": ["id"], "vec_claims": ["id"],
 }
 DOMAINS = {
     ("documents", "merge_strategy"): ("none", "positional", "timestamped"),

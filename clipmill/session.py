@@ -30,6 +30,18 @@ def session(master: str | None = None, partitions: int | None = None, name: str
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, least: int = 2 << 20) -> DataFrame:
+    """``df`` over all cores where its files give fewer tasks than that, as one file of one row group does.
+
+    Large inputs have more tasks than cores and stay as they are; so do those under
+    ``least`` bytes. Rows and columns are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < least or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; only a local master may do without the setting."""
     sc = spark.sparkContext
@@ -52,19 +64,24 @@ def durable(df: DataFrame) -> DataFrame:
 _FOLDERS: list[str] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _FOLDERS:
+        atexit.register(_remove_all, spark)
+    _FOLDERS.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     For loops: unlike a checkpoint the result has sizes of its own, so estimates
     don't multiply from round to round. The folders go when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    if not _FOLDERS:
-        atexit.register(_remove_all, spark)
-    _FOLDERS.append(path)
+    path = scratch(df.sparkSession, "stored")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _remove_all(spark: SparkSession) -> None:

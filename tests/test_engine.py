@@ -258,13 +258,13 @@ def test_bad_files_are_passed_over_and_scripts_parse(spark, tmp_path, caplog):
 def test_appends_write_new_rows_alone(spark, tmp_path, monkeypatch):
     from clipmill.sources import store as stores
 
-    monkeypatch.setattr(stores, "MOST_PARTS", 3)
+    monkeypatch.setattr(stores, "MOST_FOLDERS", 4)
     store = stores.Store(spark, f"file://{tmp_path}/s")
     rows = lambda n: spark.createDataFrame([(n, f"t{n}")], "document_id long, tag string")
     sizes = []
     for n in range(5):
         store.append("document_tags", rows(n))
-        sizes.append(len(store._parts("document_tags")))
+        sizes.append(len(store.state("document_tags")[2]))
     assert sizes == [1, 2, 3, 1, 2] and sorted(r.document_id for r in store.read("document_tags").collect()) == [0, 1, 2, 3, 4]
     store.vacuum("document_tags")
     assert store.read("document_tags").count() == 5

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,8 +86,9 @@ def test_exact_pairs_lose_nothing(spark):
         assert {(r.a, r.b): (r.shared, r.verdict) for r in neardup.exact_pairs(df, title=title).collect()} == expected
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_forest_is_that_of_the_visiting_order(spark, seed):
+@pytest.mark.parametrize("seed, most", [(1, 1 << 20), (2, 1 << 20), (1, 3), (2, 0)])
+def test_forest_is_that_of_the_visiting_order(spark, seed, most):
+    """By one task a component, and by rounds over components that are too large for one."""
     rng = random.Random(seed)
     edges = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(40)})
     parent = list(range(30))
@@ -104,10 +106,32 @@ def test_forest_is_that_of_the_visiting_order(spark, seed):
         if find(a) != find(b):
             parent[find(a)] = find(b)
             expected.add((a, b))
-    got = neardup.spanning_forest(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(old, "a long, b long"))
+    got = neardup.spanning_forest(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame(old, "a long, b long"), most)
     assert {(r.a, r.b) for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_scan_by_classes_links_as_all_pairs_do(spark, seed):
+    """Many copies, near copies of them, and pairs that somebody kept both."""
+    rng = random.Random(seed)
+    base = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(5)]
+    near = [[*b[:50], *(f"n{i}{j}" for j in range(3)), *b[53:]] for i, b in enumerate(base)]
+    far = [[*b[:34], *(f"f{i}{j}" for j in range(30))] for i, b in enumerate(base)]
+    texts = [" ".join(rng.choice(base + near + near + far)) for _ in range(70)] + ["", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = neardup.exact_pairs(docs)
+    auto = [(r.a, r.b) for r in pairs.filter("verdict = 'auto'").collect()]
+    some = rng.sample(auto, 12)
+    related = spark.createDataFrame([(b, a, "kept_both" if i < 8 else "superseded") for i, (a, b) in enumerate(some)], "from_document_id long, to_document_id long, resolution string")
+    for known in (related.limit(0), related):
+        expected, got = neardup.scan_links(pairs, docs, known), neardup.scan(docs, known)
+        for x, y in zip(expected, got, strict=True):
+            assert Counter(tuple(r) for r in x.select(y.columns).collect()) == Counter(tuple(r) for r in y.collect())
+    _, members = neardup.class_pairs(docs)
+    few = neardup.visiting_pairs(neardup.class_pairs(docs)[0], members, related.limit(0).select("from_document_id").withColumnRenamed("from_document_id", "id"))
+    assert few.count() < 3 * 70 < len(auto)
+
+
 def test_predecessor(spark):
     rows = [(1, 10, "2024-03-01", "2024-01-01"), (1, 11, "2024-03-01", "2024-02-01"), (1, 12, "2024-03-01", "2024-04-01"), (2, 13, "2024-01-01", "2024-01-01"), (2, 14, "2024-01-01", "2024-02-01")]
     df = spark.createDataFrame(rows, "new_id long, old_id long, new_clip_date string, old_clip_date string")
