@@ -7,14 +7,16 @@
 3. Their groups are counted exactly (map-side partial sums) and at most
    ``frequent`` verified winners are broadcast, so rows of hot groups are decided
    where they lie, without a shuffle.
-4. All other digests take an ordinary shuffle; no group there is hot.
+4. All other digests take an ordinary shuffle: groups are counted with map-side
+   partial sums into a written table, which is joined to the rows by two plain
+   exchanges, so that a group that just missed being a winner can be split.
 
 The sketch only steers rows between two exact paths; it can't change a result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -54,10 +56,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     )
     marked = digests.join(F.broadcast(winners), "text_sha256", "left")
     hot = marked.filter(F.col("best").isNotNull())
-    group = Window.partitionBy("text_sha256")
     rest = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-    rest = rest.withColumn("best", best.over(group)).withColumn("group_size", F.count("*").over(group))
-    return hot.unionByName(rest).select(
+    groups = cut(rest.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size")))
+    rest = rest.join(groups, "text_sha256")
+    return hot.unionByName(rest.select(*hot.columns)).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "text_sha256"
     )
 
