@@ -8,6 +8,7 @@ from datetime import datetime
 
 from .api import Collection, rows_json
 from .functions.backends import LocalServer, Offline
+from .operators.worklists import REASONS
 from .session import session
 from .sources.config import Models, Tags
 
@@ -45,10 +46,17 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("registry")
     a.add_argument("--project")
     for name in ("embed", "derive", "extract"):
-        verbs.add_parser(name).add_argument("--limit", type=int)
+        a = verbs.add_parser(name)
+        a.add_argument("--limit", type=int)
+        for flag in {"derive": (*REASONS, "force", "status"), "extract": ("force", "status")}.get(name, ()):
+            a.add_argument("--" + flag.replace("_", "-"), action="store_true")
     verbs.add_parser("diff").add_argument("--force", action="store_true")
-    verbs.add_parser("relations").add_argument("action", choices=("repair", "scan"))
+    a = verbs.add_parser("relations")
+    a.add_argument("action", choices=("repair", "scan", "diff"))
+    a.add_argument("--document", type=int, help="repair the family of this document alone; the newer one of a diff")
+    a.add_argument("--other", type=int, help="the older document of a diff")
     verbs.add_parser("stats")
+    verbs.add_parser("index")
     a = verbs.add_parser("serve")
     a.add_argument("--port", type=int, default=8080)
     return p
@@ -73,12 +81,25 @@ def main(argv: list[str] | None = None) -> None:
         out = rows_json(c.dump(args.title))
     elif args.verb == "sync":
         out = [r for df in c.sync(args.registry, datetime.now().strftime("%Y-%m-%dT%H:%M:%S"), args.project) for r in rows_json(df)]
-    elif args.verb in ("embed", "derive", "extract"):
-        out = {args.verb: getattr(c, args.verb)(limit=args.limit)}
+    elif getattr(args, "status", False):
+        out = rows_json(c.derive_status() if args.verb == "derive" else c.extraction_status())
+    elif args.verb == "derive":
+        # As the flags say; without one, documents that have no summary.
+        reasons = tuple(r for r in REASONS if getattr(args, r)) or ("missing",)
+        out = {"derive": c.derive(limit=args.limit, force=args.force, reasons=reasons)}
+    elif args.verb == "extract":
+        out = {"extract": c.extract(limit=args.limit, force=args.force)}
+    elif args.verb == "embed":
+        out = {"embed": c.embed(limit=args.limit)}
     elif args.verb == "diff":
         out = {"diff": c.diff(args.force)}
     elif args.verb == "relations":
-        out = rows_json(getattr(c, args.action)())
+        if args.action == "diff" and (args.document is None or args.other is None):
+            raise SystemExit("diff needs --document and --other")
+        out = rows_json(c.difference(args.other, args.document) if args.action == "diff" else c.repair(args.document) if args.action == "repair" else c.scan())
+    elif args.verb == "index":
+        c.index()
+        out = {"index": "done"}
     elif args.verb == "stats":
         out = rows_json(c.stats()) + rows_json(c.derive_status()) + rows_json(c.extraction_status())
     else:

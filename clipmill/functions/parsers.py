@@ -141,17 +141,31 @@ CLOCK = r"\d{1,2}:\d{2}(?:\s*(?:AM|PM))?"
 DAY = r"(?:Today|Yesterday|(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d+(?:st|nd|rd|th)?)\s+at\s+"
 EMOJI = r":[\w+\-]+:"
 REPLY_COUNT = r"\d+[\s\xa0]*repl(?:y|ies)\s*"
-NOISE = re.compile(rf"\d+\s+repl(?:y|ies)|{EMOJI}|\d+|image\.png|(?:GitLab|GitHub|Stack Overflow|Wikipedia)(?:GitLab|GitHub)?")
+# Lines that are no text: how many replies there are, reactions, their numbers, pictures, cards of links.
+REPLIES_LINE = r"\d+\s+repl(?:y|ies)"
+NUMBER_LINE = r"\d+"
+PICTURE_LINE = r"image\.png"
+CARD_LINE = r"(?:GitLab|GitHub|Stack Overflow|Wikipedia)(?:GitLab|GitHub)?"
+NOISE = (REPLIES_LINE, EMOJI, NUMBER_LINE, PICTURE_LINE, CARD_LINE)
+# What stands beside a name: reactions anywhere, a count of replies behind it or run together with it.
+EMOJI_RUN = rf"(?:{EMOJI}\s*)+"
+COUNT_BEHIND = rf"{REPLY_COUNT}$"
+COUNT_BEFORE = rf"^{REPLY_COUNT}(?=[A-Z])"
 
 BRACKET = re.compile(rf"(?P<gap>[ \xa0\t\f\v]{{2,}})?\[{CLOCK}\]")
-DECORATION = re.compile(rf"(?:{EMOJI}\s*)+|{REPLY_COUNT}$|^{REPLY_COUNT}(?=[A-Z])")
 LAST_NAME = re.compile(r"(?:[@\w][\w'-]*[ \xa0\t]+){0,3}[@\w][\w'-]*\s*$")
 TIME_LINE = re.compile(rf"^\s*?(?:{EMOJI}\s*)*(?P<what>(?:{DAY})?{CLOCK}|\d+\s+(?:minute|hour)s?\s+ago)[^\S\n]*$", re.M)
 OPENING_TIME = re.compile(rf"(?:{DAY})?\d{{1,2}}:\d{{2}}\s*(?:AM|PM)|\d.*ago", re.S)
 
 
+def is_noise(line: str) -> bool:
+    return any(re.fullmatch(kind, line.strip()) for kind in NOISE)
+
+
 def undecorated(name: str) -> str:
-    return DECORATION.sub("", name.strip()).strip()
+    for kind in (EMOJI_RUN, COUNT_BEHIND, COUNT_BEFORE):
+        name = re.sub(kind, "", name.strip())
+    return name.strip()
 
 
 def bracket_spans(text: str) -> list[Span]:
@@ -184,7 +198,7 @@ def time_line_spans(text: str) -> list[Span]:
         begin = text.rfind("\n", 0, max(upto, 0)) + 1
         name = text[begin:upto] if upto >= 0 else ""
         open_body = not spans or (begin >= spans[-1].end and text[spans[-1].end : begin].strip())
-        if open_body and undecorated(name) and not NOISE.fullmatch(name.strip()) and OPENING_TIME.fullmatch(m["what"].strip()):
+        if open_body and undecorated(name) and not is_noise(name) and OPENING_TIME.fullmatch(m["what"].strip()):
             spans.append(Span(begin, m.end(), re.sub(rf"(?:{EMOJI}\s*)+", "", name.strip()).strip()))
         elif spans and re.fullmatch(CLOCK, text[upto + 1 : m.end()].strip()):
             spans.append(Span(upto + 1, m.end(), None))
@@ -197,7 +211,7 @@ def chat(text: str) -> list[Entry]:
     spans = bracket_spans(text) or time_line_spans(text)
     said: list[tuple[str, str]] = []
     for span, raw in bodies(text, spans):
-        kept = without_blank_edges([x for x in raw.split("\n") if not NOISE.fullmatch(x.strip())])
+        kept = without_blank_edges([x for x in raw.split("\n") if not is_noise(x)])
         body = re.sub(rf"\[{CLOCK}\]", "\n", "\n".join(kept)).strip()
         if span.author and body:
             said.append((span.author, body))
@@ -216,9 +230,12 @@ NEAR = 6  # lines within which a header's second field must stand
 
 ADDRESS = re.compile(r"""(?:"(?P<quoted>[^"]+)"\s*<.*|(?P<plain>[^<]+?)\s*(?:<.*)?)$""")
 LIST_POST = re.compile(r"'(?P<name>.+?)'\s+via\s+.+")
-MONTHS = {name[:n].lower(): k for k, name in enumerate(calendar.month_name) if k for n in (3, len(name))}
-DATE = r"(?P<month>[A-Za-z]+) (?P<day>\d{1,2}),? (?P<year>\d{4})|(?P<day_>\d{1,2}) (?P<month_>[A-Za-z]+) (?P<year_>\d{4})|(?P<y>\d{4})-(?P<m>\d\d)-(?P<d>\d\d)|(?P<m_>\d\d?)/(?P<d_>\d\d?)/(?P<y_>\d{4})"
-WHEN = re.compile(rf"(?:[A-Za-z]+, )?(?:{DATE})[ T](?:at )?(?P<hour>\d\d?):(?P<minute>\d\d)(?::(?P<second>\d\d))?(?: ?(?P<half>[AP]M))?")
+MONTHS = {name[:n].lower(): k for k, name in enumerate(calendar.month_name) if k for n in (3, 4, len(name))}
+WEEKDAYS = {name[:n].lower() for name in calendar.day_name for n in (2, 3, 4, 5, len(name))}
+PIECE = re.compile(
+    r"(?P<clock>\d{1,2}:\d{2}(?::\d{2})?)(?:\.\d+)?|(?P<dashed>\d{4}-\d{1,2}-\d{1,2})T?|(?P<slashed>\d{1,2}/\d{1,2}/\d{4})|(?P<dotted>\d{1,2}\.\d{1,2}\.\d{4})"
+    r"|(?P<zone>[+-]\d{2}:?\d{2}|\([A-Za-z ]+\)|(?<=\d)Z\b|\b(?:UTC|GMT|[A-Z]{2,3}[SD]?T)\b)|(?P<word>[A-Za-z]+)\.?|(?P<number>\d+)(?:st|nd|rd|th)?|[\s,]+|(?P<other>.)"
+)
 
 
 def invisible(line: str) -> bool:
@@ -234,17 +251,47 @@ def display_name(value: str) -> str:
 
 
 def iso_time(raw: str) -> str:
-    """ISO time, or the trimmed input where it isn't a date and a time."""
-    m = WHEN.fullmatch(" ".join(raw.split()))
-    if not m:
+    """ISO time of a date in words or numbers, or the trimmed input where it isn't one.
+
+    Day, month and year may stand in any order and need no clock (then midnight);
+    weekdays, ``at`` and time zones are passed over, the time is that on the sender's
+    clock. Of 3/4/2026 the month is first, unless only the other order is a date.
+    """
+    date: dict[str, int] = {}
+    numbers, clock, half = [], None, None
+    for piece in PIECE.finditer(raw):
+        kind, text = piece.lastgroup, piece.group(piece.lastgroup) if piece.lastgroup else ""
+        word = text.lower()
+        if kind == "other" or kind in date or (kind == "clock" and clock):
+            return raw.strip()
+        if kind == "clock":
+            clock = [int(x) for x in text.split(":")]
+        elif kind == "dashed":
+            date |= zip(("year", "month", "day"), map(int, text.split("-")), strict=True)
+        elif kind == "slashed":
+            date |= zip(("month", "day", "year"), map(int, text.split("/")), strict=True)
+        elif kind == "dotted":
+            date |= zip(("day", "month", "year"), map(int, text.split(".")), strict=True)
+        elif kind == "number":
+            numbers.append(int(text))
+        elif kind == "word" and word in MONTHS and "month" not in date:
+            date["month"] = MONTHS[word]
+        elif kind == "word" and word in ("am", "pm") and clock:
+            half = word
+        elif kind == "word" and word not in WEEKDAYS and word != "at":
+            return raw.strip()
+    for number in numbers:
+        date.setdefault("year" if number > 31 else "day", number)
+    if len(date) < 3 or len(numbers) > 2:
         return raw.strip()
-    year, month, day, hour = (m[a] or m[b] or m[c] or m[d] for a, b, c, d in (("year", "year_", "y", "y_"), ("month", "month_", "m", "m_"), ("day", "day_", "d", "d_"), ("hour",) * 4))
-    number = int(hour)
-    if m["half"] and number <= 12:  # a clock of 24 hours may be followed by PM
-        number = number % 12 + (12 if m["half"] == "PM" else 0)
+    if date["month"] > 12 >= date["day"]:
+        date["month"], date["day"] = date["day"], date["month"]
+    hour, *rest = clock or [0, 0]
+    if half and hour <= 12:  # a clock of 24 hours may be followed by PM
+        hour = hour % 12 + (12 if half == "pm" else 0)
     try:
-        return datetime(int(year), int(month) if month.isdigit() else MONTHS[month.lower()], int(day), number, int(m["minute"]), int(m["second"] or 0)).isoformat()
-    except (KeyError, ValueError):
+        return datetime(date["year"], date["month"], date["day"], hour, *rest).isoformat()
+    except ValueError:
         return raw.strip()
 
 
@@ -267,17 +314,18 @@ def mail_spans(text: str) -> list[Span]:
 def top_message(text: str) -> tuple[str | None, str]:
     """(author, body) of what stands above all quoted messages.
 
-    A character per line says what the line is (text, blank, or marked as the end
-    of the recipients); author and body are places in that string.
+    The author is the last line of text before the mark that ends the recipients;
+    without a mark, the first line of all. The body starts at the next line of text.
     """
     rows = text.split("\n")
-    shape = "".join("m" if MARK in r else "b" if invisible(r) else "t" for r in rows)
-    mark = shape.find("m")
-    author = shape.rfind("t", 0, mark) if mark >= 0 else shape.find("t")
-    body = shape.find("t", max(mark, author + 1))
-    if body < 0:
-        body = len(rows) if mark >= 0 else 0
-    return (rows[author].strip() if author >= 0 else None), "\n".join(rows[body:])
+    mark = next((i for i, row in enumerate(rows) if MARK in row), None)
+    said = [i for i, row in enumerate(rows) if MARK not in row and not invisible(row)]
+    if mark is None:
+        author, start = (said[0], next(iter(said[1:]), 0)) if said else (None, 0)
+    else:
+        author = next((i for i in reversed(said) if i < mark), None)
+        start = next((i for i in said if i > mark), len(rows))
+    return (None if author is None else rows[author].strip()), "\n".join(rows[start:])
 
 
 def tidy_body(text: str, dropped: frozenset[str] = frozenset()) -> str:

@@ -72,10 +72,11 @@ def minhash(names: pd.Series) -> pd.Series:
     return pd.Series([signature_of(np.asarray(n, np.int64)) for n in names])
 
 
-def minhash_md5(df: DataFrame, key: str, shingle: str, lanes: int) -> DataFrame:
-    """(key, lane, low): the same idea with portable md5 strings, one shingle per input row."""
-    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
-    return df.select(key, shingle, lane).groupBy(key, "lane").agg(F.min(F.md5(F.concat_ws(":", F.col("lane").cast("string"), F.col(shingle)))).alias("low"))
+def minhash_md5(df: DataFrame, key: str, shingles: str, lanes: int) -> DataFrame:
+    """(key, lane, low): the same idea with portable md5 strings, over arrays of shingles; nothing is shuffled."""
+    low = lambda lane: F.array_min(F.transform(shingles, lambda s: F.md5(F.concat_ws(":", lane.cast("string"), s))))
+    found = df.filter(F.size(shingles) > 0).select(key, F.transform(F.sequence(F.lit(0), F.lit(lanes - 1)), low).alias("lows"))
+    return found.select(key, F.posexplode("lows").alias("lane", "low"))
 
 
 def signature_jaccard(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SORTS = {"source": "source_title", "doctype": "doctype_name", "date": "clip_date"}
@@ -50,10 +50,16 @@ def title_groups(documents: DataFrame) -> DataFrame:
     """Documents with their group, and the next and previous of it, round the end."""
     from ..functions.text import group_key
 
+    from .neighbours import neighbours
+
     keyed = documents.withColumn("group_key", group_key(F.col("source_title"))).filter("group_key IS NOT NULL")
-    w = Window.partitionBy("group_key").orderBy("clip_date", "id")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return keyed.withColumn("next_id", F.coalesce(F.lead("id").over(w), F.first("id").over(whole))).withColumn("previous_id", F.coalesce(F.lag("id").over(w), F.last("id").over(whole)))
+    near = neighbours(keyed, ["group_key"], ["clip_date"])
+    place = F.struct("clip_date", "id")
+    ends = keyed.groupBy("group_key").agg(F.min(place).id.alias("first"), F.max(place).id.alias("last"))
+    # Only the two ends of a group look up where it begins and ends.
+    edge = F.when(F.col("next_id").isNull() | F.col("previous_id").isNull(), F.col("group_key")).alias("edge")
+    joined = near.select("*", edge).join(ends.withColumnRenamed("group_key", "edge"), "edge", "left")
+    return joined.select(*keyed.columns, F.coalesce("next_id", "first").alias("next_id"), F.coalesce("previous_id", "last").alias("previous_id"))
 
 
 def to_json(df: DataFrame) -> DataFrame:

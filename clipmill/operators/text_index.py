@@ -5,7 +5,7 @@ The index is a list of segments, each two tables that are never changed:
 - ``postings``: a row per term and stripe of 4,096 chunk ids, with the ids, the
   frequencies and the lengths, and the largest frequency and smallest length among
   them. Rows are clustered by term, so a prefix opens the row groups of its range.
-- ``lengths``: (chunk_id, dl) of all its chunks.
+- ``lengths``: (chunk_id, dl, mark) of all its chunks; the mark is a hash of the text.
 
 Removed chunks are written to a table of their own that counts for older segments
 only. A manifest names the segments; adding, removing and merging write new folders
@@ -27,14 +27,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import search_tokens
 from ..session import durable
 from ..sources.versions import Conflict, Versions
-from .lexical import B, K1, fold_query, lengths, postings
+from .lexical import B, K1, fold_query, postings
 from .lexical import idf as weight_of
 
 STRIPE_BITS = 12
 FIRST = 16  # stripes that are scored first
 MOST_SEGMENTS = 8
+LENGTHS = "chunk_id long, dl int, mark long"
 TRIES = 20
 
 
@@ -91,21 +93,31 @@ class TextIndex:
         name = f"s-{uuid.uuid4().hex}"
         sizes.write.parquet(f"{self.folder}/{name}/lengths")
         blocks(entries).repartitionByRange("term", "stripe").sortWithinPartitions("term", "stripe").write.parquet(f"{self.folder}/{name}/postings")
-        return {"segment": name} | figures(self.spark.read.schema("chunk_id long, dl int").parquet(f"{self.folder}/{name}/lengths"))
+        return {"segment": name} | figures(self.spark.read.schema(LENGTHS).parquet(f"{self.folder}/{name}/lengths"))
 
     def add(self, chunks: DataFrame, mark: str | None = None) -> None:
         """Index chunks (chunk_id, body); ids that the index holds already must be removed first."""
         rows = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "body")
-        segment = self._write(postings(rows), lengths(rows)) | ({"mark": mark} if mark else {})
+        sizes = rows.select("chunk_id", F.size(search_tokens(F.col("body"))).alias("dl"), F.xxhash64("body").alias("mark"))
+        segment = self._write(postings(rows), sizes) | ({"mark": mark} if mark else {})
         self._commit(lambda parts: [*parts, segment])
 
     def remove(self, ids: DataFrame) -> None:
         """Take chunks (chunk_id) out; ids that aren't there change nothing."""
         name = f"g-{uuid.uuid4().hex}"
-        durable(self.lengths().join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")).write.parquet(f"{self.folder}/{name}")
+        durable(self.lengths().drop("mark").join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")).write.parquet(f"{self.folder}/{name}")
         gone = {"gone": name} | figures(self._gone(name))
         self._commit(lambda parts: [*parts, gone])
 
+    def follow(self, chunks: DataFrame, mark: str) -> None:
+        """Make the index that of ``chunks`` (chunk_id, body): new and changed texts are added, others that are gone removed."""
+        own, there = chunks.select("chunk_id", F.xxhash64("body").alias("mark")), self.lengths().select("chunk_id", "mark")
+        stale, fresh = durable(there.join(own, ["chunk_id", "mark"], "left_anti")), durable(own.join(there, ["chunk_id", "mark"], "left_anti").select("chunk_id"))
+        if stale.limit(1).count():
+            self.remove(stale)
+        self.add(chunks.join(fresh, "chunk_id", "left_semi"), mark)
+        self.merge()
+
     def merge(self, most: int = MOST_SEGMENTS) -> bool:
         """Write the segments as one where there are more than ``most``; parts that others add meanwhile stay."""
         _, parts = self.state()
@@ -139,10 +151,10 @@ class TextIndex:
         return functools.reduce(DataFrame.unionByName, found) if found else None
 
     def lengths(self, parts: list[dict] | None = None) -> DataFrame:
-        """(chunk_id, dl) of the chunks in the index."""
+        """(chunk_id, dl, mark) of the chunks in the index."""
         parts = self.state()[1] if parts is None else parts
-        rows = self._alive(parts, lambda folder: self.spark.read.schema("chunk_id long, dl int").parquet(f"{folder}/lengths"))
-        return rows if rows is not None else self.spark.createDataFrame([], "chunk_id long, dl int")
+        rows = self._alive(parts, lambda folder: self.spark.read.schema(LENGTHS).parquet(f"{folder}/lengths"))
+        return rows if rows is not None else self.spark.createDataFrame([], LENGTHS)
 
     def entries(self, parts: list[dict] | None = None, wanted: Column | None = None, columns: tuple[str, ...] = ("ids", "tfs", "dls")) -> DataFrame:
         """(chunk_id, term, stripe, and tf, dl or maxima) of matching rows of postings."""

@@ -48,8 +48,11 @@ def needs_extraction(documents: DataFrame, claims: DataFrame, model: str, prompt
     return rows.join(done, "id", "left_anti")
 
 
-def needs_derivation(documents: DataFrame, derived: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
-    """(id, reason, priority): missing detail, bad detail, bad brief, and stale detail where ``hashes`` are given; the first reason counts."""
+REASONS = ("missing", "bad_detailed", "bad_brief", "stale")
+
+
+def needs_derivation(documents: DataFrame, derived: DataFrame, hashes: DataFrame | None = None, wanted: tuple[str, ...] = REASONS) -> DataFrame:
+    """(id, reason, priority): missing detail, bad detail, bad brief, and stale detail where ``hashes`` are given; the first of the ``wanted`` reasons counts."""
     detailed = derived.filter("content_type = 'detailed'")
     missing = documents.join(detailed.select(F.col("document_id").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(1).alias("priority"))
     bad = lambda kind, p: derived.filter((F.col("content_type") == kind) & (F.col("quality") == "bad")).select(F.col("document_id").alias("id"), F.lit(p).alias("priority"))
@@ -57,7 +60,8 @@ def needs_derivation(documents: DataFrame, derived: DataFrame, hashes: DataFrame
     if hashes is not None:
         now = hashes.select("document_id", F.col("source_hash").alias("__now"))
         every = every.unionByName(detailed.join(now, "document_id").filter(F.col("source_hash").isNull() | (F.col("source_hash") != F.col("__now"))).select(F.col("document_id").alias("id"), F.lit(4).alias("priority")))
-    reason = F.element_at(F.array(*[F.lit(x) for x in ("missing", "bad_detailed", "bad_brief", "stale")]), F.col("priority"))
+    reason = F.element_at(F.array(*[F.lit(x) for x in REASONS]), F.col("priority"))
+    every = every.filter(reason.isin(*wanted))
     return every.groupBy("id").agg(F.min("priority").alias("priority")).select("id", reason.alias("reason"), "priority")
 
 

@@ -29,19 +29,27 @@ def embed(store: Store, backend: Backend, model: str, limit: int | None = None)
     return done
 
 
-def derive(store: Store, backend: Backend, models: Models, force: bool = False, stale: bool = False, limit: int | None = None) -> int:
-    """Detailed, then brief summaries. A short document's brief is its detailed one."""
+def derive(store: Store, backend: Backend, models: Models, force: bool = False, stale: bool = False, limit: int | None = None, reasons: tuple[str, ...] = worklists.REASONS) -> int:
+    """Detailed, then brief summaries. A short document's brief is its detailed one.
+
+    ``reasons`` says which documents are taken, ``force`` takes all. Where the brief
+    alone is bad, the detailed one stays and only the brief is made anew from it.
+    """
     documents, derived = store.read("documents"), store.read("derived_content")
     hashes = worklists.source_hash(store.read("entries"))
-    work = documents.select("id") if force else worklists.needs_derivation(documents, derived, hashes if stale else None).select("id")
+    stale = stale or ("stale" in reasons and reasons != worklists.REASONS)
+    work = documents.select("id", F.lit("force").alias("reason")) if force else worklists.needs_derivation(documents, derived, hashes if stale else None, reasons).select("id", "reason")
     work = work.orderBy("id").limit(limit) if limit else work
     texts = worklists.full_text(store.read("entries")).withColumnRenamed("document_id", "id")
     rows = work.join(texts, "id").join(hashes.withColumnRenamed("document_id", "id"), "id").withColumn("tier", length_tier(F.col("text"), models.short_bytes, models.medium_bytes))
     instructions = F.lit(models.instructions("short"))
     for tier in ("medium", "long"):
         instructions = F.when(F.col("tier") == tier, models.instructions(tier)).otherwise(instructions)
-    asked = answers(rows, F.concat(instructions, F.lit("\n"), F.col("text")), backend, models.model("detailed")).filter("error IS NULL")
-    detailed = durable(asked.select("id", "tier", "source_hash", F.col("answer").alias("detailed")))
+    rows = durable(rows)
+    asked = answers(rows.filter("reason <> 'bad_brief'"), F.concat(instructions, F.lit("\n"), F.col("text")), backend, models.model("detailed")).filter("error IS NULL")
+    stays = derived.filter("content_type = 'detailed' AND quality = 'ok'").select(F.col("document_id").alias("id"), F.col("content").alias("detailed"), F.col("source_hash").alias("was"))
+    kept = rows.filter("reason = 'bad_brief'").drop("source_hash").join(stays, "id").select("id", "tier", F.col("was").alias("source_hash"), "detailed")
+    detailed = durable(asked.select("id", "tier", "source_hash", F.col("answer").alias("detailed")).unionByName(kept))
     briefs = answers(detailed.filter("tier <> 'short'"), detailed_prompt(F.col("detailed"), models.brief), backend, models.model("brief")).filter("error IS NULL").select("id", F.col("answer").alias("brief"))
     both = detailed.join(briefs, "id", "left").withColumn("brief", F.when(F.col("tier") == "short", F.col("detailed")).otherwise(F.col("brief")))
     made = both.select("id", "source_hash", F.explode(F.array(F.struct(F.lit("detailed").alias("content_type"), F.col("detailed").alias("content")), F.struct(F.lit("brief").alias("content_type"), F.col("brief").alias("content")))).alias("c")).select(F.col("id").alias("document_id"), "source_hash", "c.*").filter("content IS NOT NULL")
@@ -52,11 +60,12 @@ def derive(store: Store, backend: Backend, models: Models, force: bool = False,
     return n
 
 
-def extract(store: Store, backend: Backend, models: Models, skip_types: tuple[str, ...] = (), limit: int | None = None) -> int:
-    """Claims of documents that have none of this model and prompt. Old claims go with their vectors."""
+def extract(store: Store, backend: Backend, models: Models, skip_types: tuple[str, ...] = (), limit: int | None = None, force: bool = False) -> int:
+    """Claims of documents that have none of this model and prompt, or with ``force`` of all. Old claims go with their vectors."""
     model, rules = models.model("extract"), models.rules
     key = prompt_hash(rules)
-    work = worklists.needs_extraction(store.read("documents"), store.read("claims"), model, key, skip_types).select("id", "doctype_name")
+    claimed = store.read("claims").limit(0) if force else store.read("claims")
+    work = worklists.needs_extraction(store.read("documents"), claimed, model, key, skip_types).select("id", "doctype_name")
     work = work.orderBy("id").limit(limit) if limit else work
     entries = store.read("entries")
     framing = F.lit(models.framing(None))

@@ -100,6 +100,27 @@ def relate(store: Store, links: DataFrame, dated: DataFrame | None = None) -> No
         store.append("document_tags", fresh)
 
 
+def repair_family(store: Store, document: int) -> DataFrame:
+    """Families and tags of the members of one document's family anew; gives its pairs that were kept both.
+
+    Links are only looked up among the members known so far: a family may fall
+    apart, and what joins others comes by ``relate``.
+    """
+    if not store.exists("document_families"):
+        recompute(store)
+    known = store.read("document_families")
+    own = known.filter(F.col("document_id") == document).select("family")
+    before = durable(known.join(F.broadcast(own), "family", "left_semi").select("document_id"))
+    of = lambda s: before.withColumnRenamed("document_id", s)
+    relations = durable(store.read("document_relations").join(of("from_document_id"), "from_document_id", "left_semi").join(of("to_document_id"), "to_document_id", "left_semi"))
+    found = durable(families.families(relations, store.read("documents")))
+    store.delete("document_families", before)
+    store.append("document_families", found.select("document_id", "family"))
+    store.delete("document_tags", before.withColumn("tag", F.lit("superseded")))
+    store.append("document_tags", families.superseded_tags(found))
+    return families.conflicts(relations, found)
+
+
 def ingest(store: Store, batch: DataFrame, types: tuple[DocType, ...] = BUILT_IN, own: dict[str, Parser] | None = None, force: bool = False, on_gray: str = "queue", now: str | None = None, tidy: bool = False) -> DataFrame:
     """Take in clips (path, raw): merge growing threads, store the rest, link near-duplicates; gives the review queue.
 
@@ -201,30 +222,35 @@ def ingest_folder(spark: SparkSession, store: Store, folder: str, **options) ->
     return ingest(store, clips.read_clips(spark, folder), **options)
 
 
-def sync_project(store: Store, project: Project, disk: DataFrame, now: str) -> DataFrame:
+def sync_project(store: Store, project: Project, disk: DataFrame, now: str, touched: DataFrame | None = None) -> DataFrame:
     """Bring a project's documents up to date with (relative_path, text, content_hash); gives counts by category.
 
     Rows that are new or changed get their children anew under their old id; files
-    that are gone are marked missing; a file that no rule fits is left alone.
+    that are gone are marked missing; a file that no rule fits is left alone. With
+    ``touched`` (relative_path) ``disk`` tells of those paths alone, and others stay
+    as they are. Hashes of texts are written last, so what a crash leaves unfinished
+    counts as changed the next time.
     """
     ruled = disk.withColumn("project", F.lit(project.name)).withColumn("status", clips.manifest_match(F.col("relative_path"), project.rules)).withColumn("role", clips.manifest_match(F.col("relative_path"), project.rules, "role"))
     stored = store.read("documents").filter(F.col("project") == project.name).select("id", "project", "relative_path", "content_hash")
+    stored = stored.join(touched.select("relative_path").distinct(), "relative_path", "left_semi") if touched is not None else stored
     seen = ruled.select("project", "relative_path", F.when(F.col("status").isNotNull(), F.col("content_hash")).alias("content_hash"))
     found = durable(sync.classify(seen, stored))
     rows = durable(found.drop("content_hash").join(ruled.drop("project"), "relative_path", "left"))
     fresh = with_ids(durable(rows.filter("category = 'new'").drop("id")), store.top_id("documents"), ["relative_path"])
-    named = lambda df: df.select("id", "project", "relative_path", "content_hash", F.col("status").alias("doc_status"), F.col("role").alias("doc_role"), F.lit(now).alias("synced_at"), F.col("relative_path").alias("source_title"), F.lit("project_markdown").alias("doctype_name"), F.lit("none").alias("merge_strategy"), F.lit(now).alias("clip_date"), F.lit("metadata").alias("clip_date_source"))
+    named = lambda df: df.select("id", "project", "relative_path", F.col("status").alias("doc_status"), F.col("role").alias("doc_role"), F.lit(now).alias("synced_at"), F.col("relative_path").alias("source_title"), F.lit("project_markdown").alias("doctype_name"), F.lit("none").alias("merge_strategy"), F.lit(now).alias("clip_date"), F.lit("metadata").alias("clip_date_source"))
     fresh = durable(fresh)
     if fresh.limit(1).count():
         store.append("documents", named(fresh))
     changed = rows.filter("category = 'updated'")
-    store.update("documents", changed.select("id", "content_hash").unionByName(rows.filter("category = 'unchanged'").select("id", "content_hash")).join(rows.select("id", F.col("status").alias("doc_status"), F.col("role").alias("doc_role"), F.lit(now).alias("synced_at")), "id"))
+    store.update("documents", rows.filter("category IN ('updated', 'unchanged')").select("id", F.col("status").alias("doc_status"), F.col("role").alias("doc_role"), F.lit(now).alias("synced_at")))
     store.update("documents", rows.filter("category = 'missing'").select("id", F.lit("missing").alias("doc_status"), F.lit(now).alias("synced_at")))
     if changed.limit(1).count():
         store.replace_children(changed.select("id"))
     texts = fresh.select("id", "text", "relative_path").unionByName(changed.select("id", "text", "relative_path"))
     entries = segment(texts.withColumnRenamed("id", "document_id"), "markdown").withColumn("clip_date", F.lit(now)).withColumn("source_title", F.col("relative_path")).withColumn("file_path", F.col("relative_path"))
     add_children(store, entries.drop("text", "relative_path"))
+    store.update("documents", fresh.select("id", "content_hash").unionByName(changed.select("id", "content_hash")))
     return sync.summary(found)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import shingles as S
 from ..operators import families as fam
 from ..operators import grouping, merge, neardup, sync
-from ..session import durable
+from ..session import durable, spread
 from ..sources.clips import manifest_match
 from ..sources.config import Rule
 from . import model as m
@@ -82,8 +82,8 @@ def containment_pairs(spark, sf):
 
 
 def minhash_md5_signature(spark, sf):
-    rows = S.with_shingles(docs(spark, sf).select("id", "text")).select(F.col("id").alias("doc_id"), F.explode(F.array_distinct("shingles")).alias("s"))
-    return S.minhash_md5(rows, "doc_id", "s", S.LANES)
+    rows = S.with_shingles(spread(docs(spark, sf).select(F.col("id").alias("doc_id"), "text"), 1 << 18))  # 128 hashes a shingle: worth all cores early
+    return S.minhash_md5(rows.select("doc_id", "shingles"), "doc_id", "shingles", S.LANES)
 
 
 def minhash_jaccard(spark, sf):

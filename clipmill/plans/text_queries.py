@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import chunking, parsers
 from ..functions import text as T
 from ..operators import listing, worklists
-from ..session import shared_folder
+from ..operators.neighbours import neighbours
+from ..session import scratch
 from ..sources import clips, store
 from ..streaming import ingest as streams
 from . import model as m
@@ -62,8 +60,10 @@ def length_tier(spark, sf):
 
 def diff_regions(spark, sf):
     """Each document against the next of its language."""
-    order = Window.partitionBy("lang", "source").orderBy("doc_id")
-    pairs = texts(spark, sf).withColumn("other", F.lead("text").over(order)).filter("other IS NOT NULL")
+    names = m.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    near = neighbours(names, ["lang", "source"], []).filter("next_id IS NOT NULL").select(F.col("id").alias("doc_id"), F.col("next_id"))
+    docs = m.table(spark, sf, "documents").select("doc_id", "text")
+    pairs = near.join(docs, "doc_id").join(docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("other")), "next_id").filter("other IS NOT NULL")
     side = lambda a, b: F.sha2(T.diff_side(F.col(a), F.col(b)), 256)
     return pairs.select("doc_id", side("text", "other").alias("added_sha256"), side("other", "text").alias("removed_sha256"))
 
@@ -209,12 +209,19 @@ def event_sessions(spark, sf):
 
 def stream_replay(spark, sf):
     """Event windows computed as a stream over the table, to the end."""
-    name = f"replay_{uuid.uuid4().hex}"
+    out = scratch(spark, "replay")
     source = spark.readStream.schema(m.table(spark, sf, "events").schema).parquet(f"{sf}/events*")
     source = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    query = streams.event_windows(source).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+    def keep(windows, batch):
+        """All windows so far, in a folder of the batch; a batch that is replayed writes the same folder."""
+        windows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    writer = streams.event_windows(source).writeStream.outputMode("complete").foreachBatch(keep)
+    writer.option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.parquet(out)
+    last = written.agg(F.max("batch").alias("batch"))
+    return written.join(F.broadcast(last), "batch").select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 QUERIES = {

@@ -37,6 +37,10 @@ def answer(c: Collection, url: str) -> tuple[int, object]:
                 return 200, rows_json(c.stats())[0]
             case ["derive", "status"]:
                 return 200, rows_json(c.derive_status())[0]
+            case ["derived", number]:
+                return 200, rows_json(c.derived(int(number), q.get("type")))
+            case ["difference", old, new]:
+                return 200, rows_json(c.difference(int(old), int(new)))
             case ["claims", "doc", number]:
                 return 200, rows_json(c.claims(int(number)))
             case ["claims", "similar"]:

@@ -74,6 +74,44 @@ def test_semantic_search_and_enrichment(collection):
     assert collection.repair().count() == 0 and collection.scan().count() == 0
 
 
+def test_indexes_answer_as_scans_do(collection):
+    """Stored indexes until the store changes; then scans, until they are brought up to date."""
+    ask = lambda: (api.rows_json(collection.search("cathed", include_all=True)), [d["document_id"] for d in api.rows_json(collection.similar("A page about memory.", limit=3, mode="index"))])
+    before = ask()
+    assert collection.vector_index() is None
+    collection.index()
+    assert collection.vector_index() is not None and collection.text_index().mark() == str(collection.store.version("chunks"))
+    assert ask() == before
+    collection.index()
+    assert len(collection.text_index().state()[1]) == 1
+
+
+def test_selections_of_enrichment(collection, capsys):
+    """Only what a flag asks for is made anew; a bad brief leaves the detailed summary as it is."""
+    def run(*argv):
+        cli.main(["--store", collection.store.folder, *argv])
+        return json.loads(capsys.readouterr().out)
+
+    store = collection.store
+    one = store.read("derived_content").filter("content_type = 'brief'").orderBy("document_id").first()
+    detailed = store.read("derived_content").filter(f"content_type = 'detailed' AND document_id = {one.document_id}").select("content", "source_hash").first()
+    store.upsert("derived_content", store.spark.createDataFrame([(one.id, one.document_id, "brief", "spoilt", "bad")], "id long, document_id long, content_type string, content string, quality string"))
+    assert run("derive") == {"derive": 0} and run("derive", "--bad-detailed") == {"derive": 0} and run("derive", "--status")[0]["brief_bad"] == 1
+    assert run("derive", "--bad-brief") == {"derive": 2} and run("derive", "--status")[0]["brief_bad"] == 0
+    assert store.read("derived_content").filter(f"content_type = 'detailed' AND document_id = {one.document_id}").select("content", "source_hash").first() == detailed
+    assert store.read("derived_content").filter(f"content_type = 'brief' AND document_id = {one.document_id}").first().content == one.content
+    collection.mark_derived(one.document_id, "brief", "bad")
+    assert [r.quality for r in collection.derived(one.document_id).collect()] == ["bad", "ok"] and serve.answer(collection, f"/derived/{one.document_id}?type=detailed")[1][0]["content"] == detailed.content
+    collection.mark_derived(one.document_id, "brief", "ok")
+    old, new = sorted(r.id for r in store.read("documents").filter("source_title LIKE 'Notes%'").collect())
+    assert [(r["from_document_id"], bool(r["added"])) for r in run("relations", "diff", "--document", str(new), "--other", str(old))] == [(new, True)]
+    claims = store.read("claims").count()
+    assert run("extract") == {"extract": 0} and run("extract", "--force") == {"extract": claims} and run("extract", "--status")[0]["claims"] == claims
+    collection.embed()
+    tags = sorted(map(tuple, store.read("document_tags").collect()))
+    assert run("relations", "repair", "--document", str(one.document_id)) == [] and sorted(map(tuple, store.read("document_tags").collect())) == tags
+
+
 def test_http_and_command_line(collection, capsys):
     status, body = serve.answer(collection, "/search?q=cathed&include_hidden=1")
     assert status == 200 and len(body) == 3 and "\x02" not in json.dumps(body)

@@ -42,6 +42,18 @@ def test_email_chain():
     assert P.display_name("'Ann' via List <l@x>") == "Ann"
 
 
+def test_dates_of_mail():
+    told = {
+        "January 16, 2026, 3:30 PM": "2026-01-16T15:30:00", "Jan 16, 2026, at 3:30\u202fPM": "2026-01-16T15:30:00", "Fri, 16 Jan 2026 15:30:00 +0000": "2026-01-16T15:30:00",
+        "Friday, 16 January 2026 at 09:05 GMT": "2026-01-16T09:05:00", "2026-01-16T15:30:59Z": "2026-01-16T15:30:59", "2026-01-16 15:30": "2026-01-16T15:30:00", "1/16/2026 3:30 pm": "2026-01-16T15:30:00",
+        "16/1/2026, 15:30": "2026-01-16T15:30:00", "16.01.2026 15:30": "2026-01-16T15:30:00", "Sept. 3rd 2025": "2025-09-03T00:00:00", "Jan 16, 2026 15:30 PM": "2026-01-16T15:30:00", "Jan 1, 2026 12:05 AM": "2026-01-01T00:05:00",
+        "Wed, 7 May 2025 10:00:00 -0700 (PDT)": "2025-05-07T10:00:00", "Fri, 16 Jan 2026 15:30 EST": "2026-01-16T15:30:00",
+    }
+    assert {raw: P.iso_time(raw) for raw in told} == told
+    for raw in ("soon", "yesterday at 3:30 PM", "Jan 16 3:30 PM", "February 30, 2026 1:00 PM", "16 Jan 2026 25:00", "3:30 PM", "", "1 2 3 Jan 2026", "Jan 2026 - call"):
+        assert P.iso_time(f" {raw} ") == raw
+
+
 def test_segment_and_transcript(spark):
     from pyspark.sql import functions as F
 

