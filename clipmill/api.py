@@ -77,7 +77,7 @@ class Collection:
             hits = lexical.search_index(chunks, index, tags, query, wanted)
         else:
             hits = lexical.search(chunks, lexical.postings(chunks), lexical.lengths(chunks), tags, query, wanted)
-        return self.annotated(grouping.group_lexical(lexical.snippets(hits, query).withColumn("chunk_body", F.col("body")), sort))
+        return grouping.ordered(self.annotated(grouping.group_lexical(lexical.snippets(hits, query).withColumn("chunk_body", F.col("body")), sort)), sort)  # a join may have undone the order
 
     def similar(self, query: str, limit: int = 10, author: str | None = None, date_from: str | None = None, date_to: str | None = None, project: str | None = None, exclude: list[str] | None = None, include_all: bool = False, sort: str = "score", mode: str = "overfetch") -> DataFrame:
         """Semantic search, grouped per document.
@@ -92,14 +92,14 @@ class Collection:
         probe = self.backend.embed(query, self.models.model("embed"))
         index = self.vector_index() if mode == "index" else None
         hits = vector.search(self.chunk_rows(), self.store.read("vec_chunks"), self.store.read("document_tags"), probe, limit, wanted, mode, index)
-        return self.annotated(grouping.group_semantic(hits, sort))
+        return grouping.ordered(self.annotated(grouping.group_semantic(hits, sort)), sort)
 
     def similar_claims(self, query: str, limit: int = 10, exclude: list[str] | None = None, include_all: bool = False) -> DataFrame:
         if not self.store.exists("vec_claims"):
             raise NotEmbedded("run embed first")
         rows = self.store.read("claims").select(F.col("id").alias("claim_id"), "document_id", "content", "author").join(self.store.read("documents").select(F.col("id").alias("document_id"), "source_title"), "document_id")
         probe = self.backend.embed(query, self.models.model("embed"))
-        return self.annotated(vector.claims(rows, self.store.read("vec_claims"), self.store.read("document_tags"), probe, limit, self.hidden(exclude, include_all)))
+        return self.annotated(vector.claims(rows, self.store.read("vec_claims"), self.store.read("document_tags"), probe, limit, self.hidden(exclude, include_all))).orderBy(F.desc("similarity"), "claim_id")
 
     def document(self, document_id: int) -> DataFrame:
         """A document with entries and chunks; always annotated, never hidden."""

@@ -76,7 +76,11 @@ def test_semantic_search_and_enrichment(collection):
 
 def test_indexes_answer_as_scans_do(collection):
     """Stored indexes until the store changes; then scans, until they are brought up to date."""
-    ask = lambda: (api.rows_json(collection.search("cathed", include_all=True)), [d["document_id"] for d in api.rows_json(collection.similar("A page about memory.", limit=3, mode="index"))])
+    def ask():
+        found = api.rows_json(collection.search("cathed", include_all=True))
+        hits = [(d["document_id"], round(d["best_rank"], 12), [c["snippet"] for c in d["chunks"]]) for d in found]
+        return hits, [d["document_id"] for d in api.rows_json(collection.similar("A page about memory.", limit=3, mode="index"))]
+
     before = ask()
     assert collection.vector_index() is None
     collection.index()
