@@ -8,9 +8,10 @@ an Arrow UDF does with sorted arrays.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from .text import trim, words
 # Sizes in words and bytes.
 FOCUS, STRIDE, WHOLE, SNAP = 300, 100, 400, 500
 BACK = FOCUS // 3
+PART = 1 << 22  # characters of chunks that a batch holds
+CHUNK = pa.schema([("chunk_index", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("body", pa.string())])
 CHUNKS = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("body", T.StringType())]))
 WORD, STOP, GAP = re.compile(r"\S+"), re.compile(r"[.!?](?=\s|\Z)"), re.compile(rb"\n(?=[ \t\r\x0c]*(\n))")
 
@@ -88,14 +91,28 @@ def chunks_of(text: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(CHUNKS)
-def chunk(texts: pd.Series) -> pd.Series:
-    return pd.Series([chunks_of(t) for t in texts])
+def chunks_in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., text) with their chunks in place of the text, sent on every ``PART`` bytes: chunks overlap, so they are three times the text."""
+    for batch in batches:
+        at, held, rows = 0, 0, []
+        rest, texts = batch.select(batch.schema.names[:-1]), batch.column(batch.num_columns - 1)
+        for i in range(batch.num_rows):
+            found = chunks_of(texts[i].as_py())
+            rows.append(found)
+            held += sum(len(c["body"]) for c in found)
+            if held >= PART or i + 1 == batch.num_rows:
+                counts = [len(x) for x in rows]
+                kept = rest.slice(at, len(rows)).take(pa.array(np.repeat(np.arange(len(rows)), counts)))
+                made = pa.Table.from_pylist([c for x in rows for c in x], CHUNK)
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(made.column(c).combine_chunks() for c in CHUNK.names)], [*kept.schema.names, *CHUNK.names])
+                at, held, rows = i + 1, 0, []
 
 
 def chunked(df: DataFrame, text: str = "body") -> DataFrame:
-    """One row per chunk of each row; rows without words give none."""
-    return df.select("*", F.inline(chunk(F.col(text)))) if text != "body" else df.select(*[c for c in df.columns if c != "body"], F.inline(chunk(F.col("body"))))
+    """One row per chunk of each row; rows without words give none. A column ``body`` gives way to the chunks'."""
+    rest = df.select(*[c for c in df.columns if c != "body"]) if text == "body" else df
+    kinds = T.StructType([*rest.schema.fields, *CHUNKS.elementType.fields])
+    return df.select(*rest.columns, F.col(text).alias("__text")).mapInArrow(chunks_in_parts, kinds)
 
 
 def sentence_count(c: Column) -> Column:
