@@ -37,6 +37,7 @@ MOST_LISTS = 4096  # centroids are broadcast
 SAMPLE = 1 << 18  # vectors that centroids are fitted on, at most about
 QUERIES = 64  # sampled for the choice of probes
 MOST_QUERIES = 4096  # in one pass over the codes
+CELLS = 1 << 20  # of a table of similarities in a task: 8 MB each
 ODD = -1
 CODES = "list int, id long, code binary, scale float, error float"
 
@@ -70,13 +71,19 @@ def fitted(vectors: DataFrame, lists: int, seed: int) -> np.ndarray:
     return unit(np.array(model.clusterCenters()))
 
 
+def parts(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches whose products with so many columns have ``CELLS`` cells at most, or a row each."""
+    step = max(1, CELLS // max(1, columns))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def encoder(centroids: np.ndarray):
     """A function over Arrow batches of (id, embedding) that gives ``CODES`` and the vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts(batches, len(centroids)):
             x = unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
             nearest = (x @ centroids.T).argmax(1).astype(np.int32)
             rest = x - centroids[nearest]
@@ -211,7 +218,7 @@ class VectorIndex:
 
         def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = np.full((k, len(queries)), -np.inf)
-            for batch in batches:
+            for batch in parts(batches, len(queries)):
                 if batch.num_rows:
                     near, error, hidden = bounds(batch)
                     low = np.where(hidden, -np.inf, near - error)
@@ -227,7 +234,7 @@ class VectorIndex:
             floor[r.at] = r.low
 
         def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches, len(queries)):
                 if batch.num_rows:
                     near, error, hidden = bounds(batch)
                     row, at = np.nonzero(~hidden & (near + error >= floor[None, :]))
