@@ -73,9 +73,9 @@ def strip_markers(c: Column) -> Column:
 
 def diff_side(own: Column, other: Column) -> Column:
     """Lines of ``own`` whose trimmed form is not a line of ``other``; blank lines never count."""
-    seen = F.transform(lines(other), trim)
-    fresh = F.filter(lines(own), lambda line: (trim(line) != "") & ~F.array_contains(seen, trim(line)))
-    return F.array_join(fresh, "\n")
+    fresh = lambda seen: F.filter(lines(own), lambda line: (trim(line) != "") & ~F.array_contains(seen, trim(line)))
+    # As an argument the trimmed lines are made once, not anew for each line of ``own``.
+    return F.array_join(F.get(F.transform(F.array(F.transform(lines(other), trim)), fresh), 0), "\n")
 
 
 def length_tier(c: Column, short: int = SHORT_BYTES, medium: int = MEDIUM_BYTES) -> Column:
