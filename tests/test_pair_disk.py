@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clipmill.functions import postings
 from clipmill.functions import shingles as S
 from clipmill.operators import neardup
+from clipmill.plans import neardup_queries
 from clipmill.session import CLEANUP, stored
 
 CALLS = "a long, b long"
@@ -85,3 +86,17 @@ def test_share_of_equal_lanes():
     a, b = np.arange(128), np.arange(128)
     b[:5] = -1
     assert S.equal_lanes(a, b) == 123 / 128
+
+
+def test_conflicts_search_pairs_once(spark, monkeypatch):
+    calls, search = [], neardup.class_pairs
+    monkeypatch.setattr(neardup, "class_pairs", lambda *a, **k: calls.append(1) or search(*a, **k))
+    neardup_queries.kept_both_conflicts(spark, "/root/testdata/sf0.001").count()
+    assert len(calls) == 1
+
+
+def test_estimates_sign_only_documents_of_pairs(spark, monkeypatch):
+    signed, sign = [], S.signatures
+    monkeypatch.setattr(S, "signatures", lambda df: signed.append(df.count()) or sign(df))
+    found = neardup_queries.signature_estimates(spark, "/root/testdata/sf0.001").collect()
+    assert signed == [len({i for r in found for i in (r.a, r.b)})]
