@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Columns that name a text and put it in order, whatever its own columns are called.
 KEY = ("none", "id", "mark")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,7 +95,7 @@ def stored_at(df: DataFrame) -> tuple[str, DataFrame]:
     if not _FOLDERS:
         atexit.register(_remove_all, spark)
     _FOLDERS.add(path)
-    df.write.parquet(path)
+    written(df, path)
     return path, spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,7 +103,8 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     For loops: unlike a checkpoint the result has sizes of its own, so estimates
-    don't multiply from round to round. The folders go when the driver ends.
+    don't multiply from round to round. Its shuffle files go when it is written, the
+    folders when the driver ends.
     """
     return stored_at(df)[1]
 

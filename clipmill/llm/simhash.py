@@ -36,7 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, cut, give_back, key_of, stored
+from ..operators.neardup import common, of_pairs
+from .common import KEY, cut, give_back, key_of, remove, stored, stored_at
 
 DISTANCE = 3
 SEED = 42
@@ -51,6 +52,8 @@ WORDS, WIDTH = 5, 8
 OVER, UNDER = 4, 5
 #: Differing bits at which a pair is proposed: in the word of the order, in all words; and those that are tried first.
 IN_WORD, IN_ALL, SURE = 18, 96, 64
+#: Shingle hashes that go to the tiles of pairs at a time, even if the sets are fewer.
+SLICE = 1 << 23
 STARTS = np.arange(WIDTH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -382,7 +385,8 @@ def components(edges: DataFrame) -> DataFrame:
     ends when a turn leaves the edges as they were. The aggregates are written
     before they are joined back, so that the rows of a hot node can be split.
     """
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark = edges.sparkSession
+    path, edges = stored_at(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -395,7 +399,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large)
         least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = stored(small.filter("a <> b").distinct())
+        old, (path, edges) = path, stored_at(small.filter("a <> b").distinct())
+        remove(spark, old)
         now = state(edges)
         if now == was:
             break
@@ -446,16 +451,24 @@ def names_of(texts: pd.Series) -> pd.Series:
     return pd.Series([np.unique(shingle_hashes(t, WORDS)).view(np.int64) for t in texts])
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> int:
+    """1 if two sorted sets have the similarity, else 0."""
+    shared = common(a, b)
+    return int((len(a) + len(b) - shared) * OVER <= shared * UNDER)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets have the similarity; only texts of the pairs are read."""
+    """The pairs (a, b) of classes whose whole sets have the similarity; only texts of the pairs are read.
+
+    A set goes once to each tile of pairs, not once to each pair.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     keys = cut(classes.select("c", *KEY).join(wanted, "c", "left_semi"))
     keyed = df.select(*key_of(id_col, text_col), F.col(text_col).alias("text"))
-    sets = stored(keyed.join(keys, list(KEY)).dropDuplicates(["c"]).select("c", names_of("text").alias("names")))
-    side = lambda s: sets.select(F.col("c").alias(s), F.col("names").alias(f"names_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("names_a", "names_b")).alias("shared"), (F.size("names_a") + F.size("names_b")).alias("total"))
-    return shared.filter((F.col("total") - F.col("shared")) * OVER <= F.col("shared") * UNDER).select("a", "b")
+    path, sets = stored_at(keyed.join(keys, list(KEY)).dropDuplicates(["c"]).select(F.col("c").alias("id"), names_of("text").alias("items")))
+    rated = of_pairs(pairs, sets, alike, "int", np.sort, SLICE)
+    remove(df.sparkSession, path)
+    return rated.filter("value = 1").select("a", "b")
 
 
 def similar_links(classes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -4,7 +4,8 @@ import random
 import re
 
 from clipmill.llm import simhash
-from clipmill.llm.common import table
+from clipmill.llm.common import KEY, key_of, stored, table
+from clipmill.operators import neardup
 
 
 def shingles(text):
@@ -95,3 +96,19 @@ def test_rows_ties_nulls_and_names(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 9, 11]
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_verified_sends_a_set_once_to_a_tile(spark, monkeypatch):
+    """All 780 pairs of 40 texts that are alike are one tile, to which 40 sets go, not 1,560."""
+    seen, whole = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df: seen.append(((made := whole(df)).columns, made.count())) or made)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join([*words[: 60 - i], *[f"x{i}y{k}" for k in range(i)]])) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marked = stored(docs.select(*key_of("doc_id", "text"), simhash.classes_of("text").alias("p")).select(*KEY, "p.c")).select("c", *KEY)
+    of = {r.c: r.id for r in marked.collect()}
+    pairs = [(a, b) for a in of for b in of if a < b]
+    got = simhash.verified(stored(spark.createDataFrame(pairs, "a long, b long")), marked, docs, "doc_id", "text")
+    sets = {c: shingles(texts[i][1]) for c, i in of.items()}
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert [n for columns, n in seen if columns == ["tile", "id"]] == [40]
