@@ -100,3 +100,17 @@ def test_estimates_sign_only_documents_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(S, "signatures", lambda df: signed.append(df.count()) or sign(df))
     found = neardup_queries.signature_estimates(spark, "/root/testdata/sf0.001").collect()
     assert signed == [len({i for r in found for i in (r.a, r.b)})]
+
+
+def test_names_are_packed_in_two_halves(spark, monkeypatch):
+    """Each half of the names is shuffled by itself; the sets are those of one go."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(30))) for i in range(20)], "id long, text string")
+    made = []
+    for most in (1 << 24, 0):
+        monkeypatch.setattr(neardup, "WHOLE", most)
+        seen, whole = [], stored
+        monkeypatch.setattr(neardup, "stored", lambda df, seen=seen, whole=whole: seen.append(df.columns) or whole(df))
+        names, sets, _ = neardup.classes(docs)
+        made.append({(r.id, r.alone, tuple(sorted(r.rare))) for r in neardup.ranked_sets(names, sets).collect()})
+        assert seen.count(["id", "s", "df"]) == (2 if not most else 1)
+    assert made[0] == made[1]
