@@ -198,16 +198,20 @@ class Lattices:
             code = self.fallback(chunks[r][i])
             weight[r, i, 0], piece[r, i, 0] = self.rare * len(self.rows[code - self.size]), code
         first = self.states
-        ahead = np.zeros((rows, n + 1))
+        ending = np.full((n, deep, rows), -np.inf)  # of pieces by where they end and how many characters before the longest they begin
+        for k in range(deep):
+            ending[k:, deep - 1 - k] = weight[:, : n - k, k].T
+        ahead = np.zeros((n + 1, rows))
         for j in range(1, n + 1):
             back = np.arange(min(j, deep), 0, -1)
-            terms = ahead[:, j - back] + weight[:, j - back, back - 1]
-            top = terms.max(1)
-            parts = np.exp(terms - top[:, None])
-            total = parts.sum(1)
-            ahead[:, j] = top + np.log(total)
-            r, b = np.nonzero(np.isfinite(terms))
-            upto = (np.cumsum(parts, 1) / total[:, None])[r, b]
+            terms = ahead[j - len(back) : j] + ending[j - 1, deep - len(back) :]
+            some = np.flatnonzero(terms.max(1) > -np.inf)  # lengths that any chunk has a piece of
+            back, terms = back[some], terms[some]
+            top = terms.max(0)
+            run = np.cumsum(np.exp(terms - top), 0)
+            ahead[j] = top + np.log(run[-1])
+            r, b = np.nonzero(np.isfinite(terms.T))
+            upto = (run / run[-1])[b, r]
             other = r[1:] != r[:-1]
             upto[np.append(other, True)] = 1.0
             begin, size = j - back[b], back[b]
