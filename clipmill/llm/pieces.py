@@ -18,6 +18,7 @@ import hashlib
 import math
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ MARK = "▁"
 LITERAL = "\ud800"  # stands for a piece mark of the text itself; no valid text holds a lone surrogate
 BATCH, ROWS = 1 << 18, 512
 MOST_STATES = 500_000  # places whose tables are kept; a worker holds them while it lives
-SCALAR, CELLS = 64, 50_000  # characters of one chunk, and of all, that go through the lattice side by side
+SCALAR, CELLS = 64, 100_000  # characters of one chunk, and of all, that go through the lattice side by side
+FEW = 8  # of a batch's new chunks, those longer than all but so many go one by one
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())])
 
@@ -85,7 +87,7 @@ class Lattices:
         joined = {c for p in self.weight if len(p) > 1 for c in p}
         crossing = any(MARK in p.lstrip(MARK) for p in self.weight)
         alone = "" if "\n" in joined else "\n"
-        self.cut = re.compile(r"(?s:.+)" if crossing else rf"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (rf"|\n" if alone else ""))
+        self.cut = re.compile(r"(?s:.+)" if crossing else rf"{MARK}*+[^{MARK}{alone}]++|{MARK}++" + (rf"|\n" if alone else ""))
         self.bytes_of = [b""] * self.size
         for i in plain:
             self.bytes_of[i] = names[i].replace(MARK, " ").encode()
@@ -96,7 +98,7 @@ class Lattices:
         self.clear()
 
     def build_trie(self) -> None:
-        """The pieces as sorted (node, character) keys with the node each leads to."""
+        """The pieces as a hash table of (node, character) with the node each leads to."""
         step: dict[tuple[int, str], int] = {}
         at_node = {}
         for name, found in self.weight.items():
@@ -104,16 +106,42 @@ class Lattices:
             for c in name:
                 node = step.setdefault((node, c), len(step) + 1)
             at_node[node] = found
-        keys = np.array([(n << 21) + ord(c) for n, c in step], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = keys[order], np.array(list(step.values()), np.int64)[order]
-        self.first = np.zeros(0x110000, np.int32)  # by first character; 0 where no piece begins so
-        self.first[keys[order][: len({c for n, c in step if not n})]] = self.next[: len({c for n, c in step if not n})]
+        keys, after = np.array([(n << 21) + ord(c) for n, c in step], np.int64), np.array(list(step.values()), np.int64)
+        self.first = np.zeros(0x110000, np.int64)  # by first character; 0 where no piece begins so
+        self.first[keys[keys < 1 << 21]] = after[keys < 1 << 21]
+        bits = 2 + len(keys).bit_length()
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.next = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        at, left = self.slot(keys), np.arange(len(keys))
+        while len(left):  # a key whose slot is taken goes to the next
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+        self.next[at] = after
         self.node_piece = np.full(len(step) + 1, -1, np.int32)
         self.node_weight = np.full(len(step) + 1, -np.inf)
         for node, (piece, weight) in at_node.items():
             self.node_piece[node], self.node_weight[node] = piece, weight
 
+    def child(self, node: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The node that a character leads to from each node, 0 where there is none."""
+        key = (node << 21) + chars
+        at = self.slot(key)
+        there = self.keys[at]
+        out = np.where(there == key, self.next[at], 0)
+        on = np.flatnonzero((there != key) & (there >= 0))  # the slot is another key's: the next ones may hold it
+        while len(on):
+            at[on] = (at[on] + 1) & self.mask
+            there = self.keys[at[on]]
+            hit = there == key[on]
+            out[on[hit]] = self.next[at[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return out
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * GOLD) >> self.shift).astype(np.int64)
+
     def clear(self) -> None:
         self.end: dict[str, int] = {}
         self.states = 0
@@ -164,64 +192,87 @@ class Lattices:
         return first + n
 
     def add_all(self, chunks: set[str]) -> None:
-        """Forward tables of new chunks; many of one length go through the lattice side by side."""
-        by_length: dict[int, list[str]] = {}
-        for c in chunks:
-            by_length.setdefault(len(c), []).append(c)
-        for n, same in sorted(by_length.items()):
-            same.sort()
-            if n > SCALAR or len(same) < 6:
-                for c in same:
-                    self.add(c)
-                continue
-            for at in range(0, len(same), 1 + CELLS // n):
-                self.add_side_by_side(same[at : at + 1 + CELLS // n], n)
-
-    def add_side_by_side(self, chunks: list[str], n: int) -> None:
-        """As ``add``, for chunks of length n; the state of place j of chunk r is first + (j - 1) * len(chunks) + r."""
-        rows, deep = len(chunks), min(n, self.longest)
-        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n).astype(np.int64)
-        weight, piece = np.full((rows, n, deep), -np.inf), np.full((rows, n, deep), -1, np.int32)
-        row, place = np.nonzero(self.first[chars])
-        node = self.first[chars[row, place]].astype(np.int64)
-        weight[row, place, 0], piece[row, place, 0] = self.node_weight[node], self.node_piece[node]
+        """Forward tables of new chunks; all but the longest go through the lattice side by side."""
+        ordered = sorted(chunks, key=len, reverse=True)
+        most = min(SCALAR, len(ordered[FEW])) if len(ordered) > FEW else 0
+        at = 0
+        while at < len(ordered) and len(ordered[at]) > most:
+            self.add(ordered[at])
+            at += 1
+        while at < len(ordered):
+            to = at + 1 + CELLS // len(ordered[at])
+            self.add_side_by_side(ordered[at:to])
+            at = to
+
+    def add_side_by_side(self, chunks: list[str]) -> None:
+        """As ``add``, for chunks from long to short.
+
+        At each place stand the characters of the chunks that reach it, so a cell is
+        ``base[place] + row``; the state of a cell's end is ``first`` more.
+        """
+        rows, size = len(chunks), np.array([len(c) for c in chunks], np.int64)
+        n, first = int(size[0]), self.states
+        deep = min(n, self.longest)
+        reach = np.searchsorted(-size, -np.arange(n + deep))  # chunks with a character at each place
+        base = (np.cumsum(reach) - reach)
+        cells = int(base[n])
+        place = np.repeat(np.arange(n), reach[:n])
+        row = np.arange(cells) - base[place]
+        chars = np.empty(cells, np.int64)
+        along = np.arange(cells) - np.repeat(np.cumsum(size) - size, size)
+        chars[base[along] + np.repeat(np.arange(rows), size)] = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        node = self.first[chars]
+        weight, piece = self.node_weight[node], self.node_piece[node]
+        for cell in np.flatnonzero(piece < 0).tolist():
+            code = self.fallback(chr(chars[cell]))
+            weight[cell], piece[cell] = self.rare * len(self.rows[code - self.size]), code
+        found = [(row, place, weight, piece)]  # pieces of each length, by place and row; of one character there is one in each cell
+        some = np.flatnonzero(node)
+        row, place, node = row[some], place[some], node[some]
         for k in range(1, deep):
-            inside = place + k < n
+            inside = np.flatnonzero(row < reach[place + k])
             row, place, node = row[inside], place[inside], node[inside]
-            key = (node << 21) + chars[row, place + k]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            found = self.keys[at] == key
-            row, place, node = row[found], place[found], self.next[at[found]]
-            weight[row, place, k], piece[row, place, k] = self.node_weight[node], self.node_piece[node]
-        lone_row, lone_place = np.nonzero(piece[:, :, 0] < 0)
-        for r, i in zip(lone_row.tolist(), lone_place.tolist(), strict=True):
-            code = self.fallback(chunks[r][i])
-            weight[r, i, 0], piece[r, i, 0] = self.rare * len(self.rows[code - self.size]), code
-        first = self.states
-        ending = np.full((n, deep, rows), -np.inf)  # of pieces by where they end and how many characters before the longest they begin
-        for k in range(deep):
-            ending[k:, deep - 1 - k] = weight[:, : n - k, k].T
-        ahead = np.zeros((n + 1, rows))
+            node = self.child(node, chars[base[place + k] + row])
+            some = np.flatnonzero(node)
+            row, place, node = row[some], place[some], node[some]
+            some = np.flatnonzero(self.node_piece[node] >= 0)
+            found.append((row[some], place[some], self.node_weight[node[some]], self.node_piece[node[some]]))
+        bounds = [np.searchsorted(f[1], np.arange(n + 1)).tolist() for f in found]
+        sums, nth = [np.empty(len(f[0])) for f in found], [np.empty(len(f[0]), np.int64) for f in found]
+        ahead, total, count = np.zeros((n + 1, rows)), np.empty(cells), np.empty(cells, np.int64)
         for j in range(1, n + 1):
-            back = np.arange(min(j, deep), 0, -1)
-            terms = ahead[j - len(back) : j] + ending[j - 1, deep - len(back) :]
-            some = np.flatnonzero(terms.max(1) > -np.inf)  # lengths that any chunk has a piece of
-            back, terms = back[some], terms[some]
-            top = terms.max(0)
-            run = np.cumsum(np.exp(terms - top), 0)
-            ahead[j] = top + np.log(run[-1])
-            r, b = np.nonzero(np.isfinite(terms.T))
-            upto = (run / run[-1])[b, r]
-            other = r[1:] != r[:-1]
-            upto[np.append(other, True)] = 1.0
-            begin, size = j - back[b], back[b]
-            self.start.extend(self.upto.n + np.flatnonzero(np.append(True, other)))
-            self.upto.extend(upto)
-            self.before.extend(np.where(begin > 0, first + (begin - 1) * rows + r, -1))
-            self.piece.extend(piece[r, begin, size - 1])
-        self.states += rows * n
-        for r, c in enumerate(chunks):
-            self.end[c] = first + (n - 1) * rows + r
+            here = int(reach[j - 1])
+            top, run, times, terms = np.full(here, -np.inf), np.zeros(here), np.zeros(here, np.int64), []
+            for k in range(min(j, deep) - 1, -1, -1):
+                a, b = bounds[k][j - 1 - k : j - k + 1]
+                if a < b:
+                    r = found[k][0][a:b]
+                    term = ahead[j - 1 - k][r] + found[k][2][a:b]
+                    top[r] = np.maximum(top[r], term)
+                    terms.append((k, a, b, r, term))
+            for k, a, b, r, term in terms:
+                sums[k][a:b] = upto = run[r] + np.exp(term - top[r])
+                run[r] = upto
+                nth[k][a:b] = times[r]
+                times[r] += 1
+            ahead[j, :here] = top + np.log(run)
+            at = int(base[j - 1])
+            total[at : at + here], count[at : at + here] = run, times
+        start = np.cumsum(count) - count
+        edges = int(start[-1] + count[-1])
+        upto, before, code = np.empty(edges, np.float32), np.empty(edges, np.int32), np.empty(edges, np.int32)
+        for k, (row, place, _, piece) in enumerate(found):
+            end = base[place + k] + row
+            at = start[end] + nth[k]
+            upto[at] = sums[k] / total[end]
+            before[at] = np.where(place > 0, first + base[place - 1] + row, -1)
+            code[at] = piece
+        self.start.extend(self.upto.n + start)
+        self.upto.extend(upto)
+        self.before.extend(before)
+        self.piece.extend(code)
+        self.states += cells
+        self.end.update(zip(chunks, (first + base[size - 1] + np.arange(rows)).tolist(), strict=True))
 
     def escape(self, text: str) -> str:
         """The text as the lattice reads it."""
@@ -234,8 +285,9 @@ class Lattices:
         chunks = [self.cut.findall(self.escape(t)) if t else [] for t in texts]
         counts = np.array([len(c) for c in chunks], np.int64)
         end = self.end
-        self.add_all({c for part in chunks for c in part if c not in end})
-        state = np.array([end[c] for part in chunks for c in part], np.int64)
+        flat = list(chain.from_iterable(chunks))
+        self.add_all(set(flat).difference(end))
+        state = np.fromiter(map(end.__getitem__, flat), np.int64, len(flat))
         place = np.arange(len(state)) - np.repeat(np.cumsum(counts) - counts, counts)
         key = mixed(np.repeat(seeds, counts) + place.astype(np.uint64) * GOLD)
         start, upto, before, piece = self.start.view, self.upto.view, self.before.view, self.piece.view

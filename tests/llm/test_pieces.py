@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from clipmill.llm import pieces
@@ -80,6 +81,49 @@ def test_both_ways_of_building_agree(table):
         assert walk(one, one.end[c]) == walk(many, many.end[c])
 
 
+def edges(t, state):
+    """(place's share, piece, state before) of the pieces that end at a state, the longest first."""
+    out, e = [], int(t.start.view[state])
+    while True:
+        out.append((t.upto.view[e], int(t.piece.view[e]), int(t.before.view[e])))
+        if t.upto.view[e] >= 1:
+            return out
+        e += 1
+
+
+def test_chunks_of_all_lengths_go_side_by_side(monkeypatch):
+    """Each call handles chunks of many lengths at once, with the same tables as one by one."""
+    rng = random.Random(4)
+    one, many = pieces.Lattices(pieces.load(), 1.0), pieces.Lattices(pieces.load(), 1.0)
+    letters = "theinrsaoé.日🎉\x01" + pieces.LITERAL
+    chunks = {"▁" * rng.randint(0, 2) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(600)} | {"a" * 200, "▁" + "the" * 40}
+    calls, side = [], many.add_side_by_side
+    monkeypatch.setattr(many, "add_side_by_side", lambda *a: calls.append(1) or side(*a))
+    many.add_all(chunks)
+    assert len(calls) == 1
+    assert len(many.end) == len(chunks)
+    spelled = lambda t, code: code if code < t.size else tuple(t.rows[code - t.size])
+    for c in chunks:
+        one.add(c)
+        todo = {(one.end[c], many.end[c])}
+        while todo:
+            a, b = todo.pop()
+            x, y = edges(one, a), edges(many, b)
+            assert [spelled(one, e[1]) for e in x] == [spelled(many, e[1]) for e in y]
+            assert [e[0] for e in x] == pytest.approx([e[0] for e in y], abs=1e-6)
+            assert [e[2] < 0 for e in x] == [e[2] < 0 for e in y]
+            todo |= {(e[2], f[2]) for e, f in zip(x, y, strict=True) if e[2] >= 0}
+
+
+def test_every_piece_is_found_by_its_characters(table):
+    for name, (piece, weight) in list(table.weight.items())[::16]:
+        node = table.first[ord(name[0])]
+        for c in name[1:]:
+            node = table.child(np.array([node]), np.array([ord(c)]))[0]
+        assert node > 0 and table.node_piece[node] == piece and table.node_weight[node] == weight
+    assert table.child(np.array([table.first[ord("a")]]), np.array([0x10FFFF])).tolist() == [0]
+
+
 def test_operator(spark):
     rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(1, None, "x"), (None, "no key", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
